@@ -1,0 +1,3 @@
+from mnemolake.plans.views import Registry
+
+registry = Registry()
