@@ -25,9 +25,19 @@ def with_group(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*by).agg(*aggs), on=by, how="inner")
 
 
-def salted_distinct(df: DataFrame) -> DataFrame:
-    """Distinct rows (partial aggregation removes copies before the shuffle)."""
-    return df.distinct()
+def bucketed_row_number(df: DataFrame, by: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Row numbers per group without sorting a whole group in one task.
+
+    ``bucket`` must grow with the order (a day, say). Rows are numbered inside (group, bucket); the count
+    of earlier buckets of the group is added.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    numbered = rows.withColumn("_local", F.row_number().over(local)).join(offsets, [*by, "_bucket"])
+    return numbered.withColumn(name, F.col("_before") + F.col("_local")).drop("_bucket", "_before", "_local")
 
 
 def bounded_rows(df: DataFrame, limit: int) -> list | None:

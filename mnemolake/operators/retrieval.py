@@ -145,7 +145,7 @@ def fuse(keyword: DataFrame, semantic: DataFrame, weight: float, k: int, min_sco
     both = kw.join(sem, ["query_id", "doc_id"], "full_outer")
     zero = F.lit(0.0)
     score = (1 - weight) * F.coalesce("kw", zero) + weight * F.coalesce("sem", zero)
-    fused = both.select("query_id", "doc_id", F.round(score, 6).alias("score")).filter(F.col("score") >= min_score)
+    fused = both.select("query_id", "doc_id", F.round(score, 8).alias("score")).filter(F.col("score") >= min_score)
     return top_k(fused, ["query_id"], by_score(), k)
 
 

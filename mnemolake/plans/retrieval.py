@@ -1,3 +1,391 @@
-from mnemolake.plans.views import Registry
+"""Search queries: every benchmark text is a query, the corpus is the whole document table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mnemolake.functions import fixed
+from mnemolake.operators import chunking, consent, retrieval as r
+from mnemolake.plans.documents import CHUNKS
+from mnemolake.plans.views import Registry, sql
 
 registry = Registry()
+add = registry.add
+
+
+def bm25_sql(corpus: str = "documents", id_col: str = "doc_id", prefix: str = "") -> str:
+    """BM25 scores of the whole corpus as a list of views ending in ``{prefix}bm``."""
+    p = prefix
+    return f"""{p}qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term
+        FROM queries_v),
+    {p}tok AS (SELECT {id_col} AS doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM {corpus}),
+    {p}st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM {p}tok),
+    {p}post AS (SELECT doc_id, dl, term, count(*) AS tf FROM
+        (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM {p}tok) GROUP BY ALL),
+    {p}dfs AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term),
+    {p}bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+            / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+        FROM {p}post JOIN {p}qt USING (term) JOIN {p}dfs USING (term), {p}st GROUP BY query_id, doc_id)"""
+
+
+def topk(source: str, k: int, order: str = "score DESC, doc_id", extra: str = "") -> str:
+    return f"""SELECT *{extra} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank
+        FROM {source}) WHERE rank <= {k}"""
+
+
+VEC = """vs AS (SELECT query_id, doc_id, round(list_dot_product(q.v, d.v)
+        / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))), 6) AS score
+    FROM query_vec_v q, doc_vec_v d)"""
+
+
+@add("bm25_search", sql("queries_v", f"{bm25_sql()} SELECT query_id, doc_id, score, rank FROM ({topk('bm', 10)})"))
+def _(t):
+    return r.bm25_search(t.queries, t.documents)
+
+
+@add(
+    "vector_search",
+    sql("doc_vec_v query_vec_v", f"{VEC} SELECT query_id, doc_id, score, rank FROM ({topk('vs', 10)})"),
+)
+def _(t):
+    return r.vector_search(t.query_vectors, t.doc_vectors)
+
+
+@add("ann_vector_search")
+def _(t):
+    return r.ann_vector_search(t.query_vectors, t.doc_vectors)
+
+
+def fused_sql(weight: float, k: int, source_k: int) -> str:
+    return f"""k20 AS ({topk('bm', source_k)}), v20 AS ({topk('vs', source_k)}),
+    kb AS (SELECT query_id, max(score) AS best FROM k20 GROUP BY query_id),
+    kn AS (SELECT query_id, doc_id, score / best AS kw FROM k20 JOIN kb USING (query_id)),
+    fused AS (SELECT query_id, doc_id, round({1 - weight} * coalesce(kw, 0.0) + {weight} * coalesce(v20.score, 0.0), 8) AS score
+        FROM kn FULL JOIN v20 USING (query_id, doc_id)),
+    hyb AS (SELECT query_id, doc_id, score, rank FROM ({topk('(SELECT * FROM fused WHERE score >= 0)', k)}))"""
+
+
+HYBRID_VIEWS = "queries_v doc_vec_v query_vec_v"
+
+
+@add("hybrid_search", sql(HYBRID_VIEWS, f"{bm25_sql()}, {VEC}, {fused_sql(0.5, 10, 20)} SELECT * FROM hyb"))
+def _(t):
+    return r.hybrid_search(t.query_vectors, t.documents, t.doc_vectors)
+
+
+@add("hybrid_search_weighted", sql(HYBRID_VIEWS, f"{bm25_sql()}, {VEC}, {fused_sql(0.75, 10, 20)} SELECT * FROM hyb"))
+def _(t):
+    return r.hybrid_search(t.query_vectors, t.documents, t.doc_vectors, weight=0.75)
+
+
+@add(
+    "metadata_search",
+    sql(
+        "docs_v",
+        """SELECT doc_id, filename, 1.0::DOUBLE AS score FROM docs_v WHERE filename LIKE 'src1%.txt'
+        AND contains(lower(source), 'src1') AND doc_date BETWEEN DATE '2025-09-01' AND DATE '2026-04-01'
+        AND len(list_filter(topics, lambda x: contains(lower(x), 'band'))) > 0 ORDER BY doc_id LIMIT 20""",
+    ),
+)
+def _(t):
+    out = r.metadata_search(
+        t.docs, filename="src1*.txt", source="SRC1", date_from="2025-09-01", date_to="2026-04-01", topic="BAND"
+    )
+    return out.select("doc_id", "filename", "score")
+
+
+@add(
+    "topic_search",
+    sql(
+        "queries_v docs_v",
+        f"""{bm25_sql()}, tb AS (SELECT bm.* FROM bm JOIN docs_v USING (doc_id) WHERE list_contains(topics, 'de'))
+        SELECT query_id, doc_id, score, rank FROM ({topk('tb', 10)})""",
+    ),
+)
+def _(t):
+    return r.topic_search(t.queries, t.docs, "DE")
+
+
+@add(
+    "topic_search_overfetch",
+    sql(
+        "queries_v docs_v",
+        f"""{bm25_sql()}, broad AS (SELECT query_id, doc_id, score FROM ({topk('bm', 30)})),
+        m AS (SELECT b.*, list_contains(topics, 'fr') AS hit FROM broad b JOIN docs_v USING (doc_id)),
+        kept AS (SELECT query_id, doc_id, score FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM m)
+            WHERE hit OR NOT any_hit)
+        SELECT query_id, doc_id, score, rank FROM ({topk('kept', 10)})""",
+    ),
+)
+def _(t):
+    return r.topic_search(t.queries, t.docs, "fr", overfetch=3)
+
+
+# stored key passages and entities of a document, the same simple rule on both engines
+PASSAGES = r"""pas AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 20) AS key_passages,
+    regexp_extract_all(text, '[A-Z][a-z]{5,}') AS entities FROM documents)"""
+
+
+def stored_passages(t):
+    return t.documents.select(
+        "doc_id",
+        "text",
+        F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20).alias("key_passages"),
+        F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)).alias("entities"),
+    )
+
+
+@add(
+    "entity_boost_search",
+    sql(
+        "queries_v",
+        rf"""{bm25_sql()}, {PASSAGES}, cand AS ({topk('bm', 20)}),
+        qw AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w
+            FROM queries_v),
+        j AS (SELECT c.query_id, c.doc_id, c.score AS vector_score,
+            list_filter(entities, lambda e: len(list_filter(w, lambda x: contains(lower(e), x))) > 0) AS me,
+            list_sum(list_transform(key_passages, lambda p: len(list_intersect(w,
+                list_distinct(regexp_split_to_array(lower(p), '\s+')))))) AS ov
+            FROM cand c JOIN qw USING (query_id) JOIN pas USING (doc_id)),
+        b AS (SELECT query_id, doc_id, vector_score, (0.1 * 0.5 * coalesce(ov, 0) + 0.1 * len(me))::DOUBLE AS bo,
+            array_to_string(me, '|') AS matched_entities FROM j),
+        s AS (SELECT query_id, doc_id, vector_score, round(bo, 4) AS entity_boost, matched_entities,
+            round(vector_score + bo, 6) AS score FROM b) {topk('s', 10)}""",
+    ),
+)
+def _(t):
+    return r.entity_boost_search(t.queries, stored_passages(t), r.bm25_search(t.queries, t.documents, 20))
+
+
+UNITS = f"""units AS (SELECT 'd' || doc_id AS unit_id, doc_id AS parent_id, text, 'document' AS level FROM documents
+    UNION ALL SELECT 'c' || chunk_id, parent_id, text, 'chunk' FROM chunks)"""
+
+
+def chunk_sql(body: str) -> str:
+    head = sql("queries_v", "SELECT 1")[len("WITH ") :].rsplit("\nSELECT 1", 1)[0]
+    return f"WITH {CHUNKS.rstrip()}, {head}, {UNITS}, {bm25_sql('units', 'unit_id')}, {body}"
+
+
+@add(
+    "multilevel_search",
+    chunk_sql(f"""top AS ({topk('bm', 10)}) SELECT query_id, doc_id AS unit_id, score, rank, parent_id, level
+        FROM top JOIN units ON unit_id = doc_id"""),
+)
+def _(t):
+    return r.multilevel_search(t.queries, t.documents, chunking.chunk_documents(t.documents))
+
+
+@add(
+    "collapse_chunks",
+    chunk_sql(f"""top AS ({topk('bm', 20)}), j AS (SELECT query_id, parent_id AS doc_id, doc_id AS unit_id, score, level
+            FROM top JOIN units ON unit_id = doc_id),
+        one AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, unit_id) = 1)
+        SELECT query_id, doc_id, unit_id, level, score, rank FROM ({topk('one', 10, 'score DESC, unit_id')})"""),
+)
+def _(t):
+    hits = r.multilevel_search(t.queries, t.documents, chunking.chunk_documents(t.documents), k=20)
+    return r.collapse_chunks(hits, 10).select("query_id", "doc_id", "unit_id", "level", "score", "rank")
+
+
+@add(
+    "search_with_excerpt",
+    sql(
+        "queries_v",
+        f"""{bm25_sql()}, {PASSAGES} SELECT query_id, h.doc_id, score, rank, CASE WHEN coalesce(key_passages[1], '') <> ''
+        THEN key_passages[1] WHEN length(text) <= 500 THEN text ELSE left(text, 500) END AS excerpt,
+        CASE WHEN coalesce(key_passages[1], '') <> '' THEN 'precomputed' WHEN length(text) <= 500 THEN 'full'
+        ELSE 'truncate' END AS excerpt_method
+        FROM ({topk('bm', 10)}) h JOIN pas USING (doc_id) JOIN documents USING (doc_id)""",
+    ),
+)
+def _(t):
+    return r.search_with_excerpt(r.bm25_search(t.queries, t.documents), stored_passages(t))
+
+
+COVER = """len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')),
+    list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+'))))
+    / greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 1)"""
+
+
+@add(
+    "rerank",
+    sql(
+        "queries_v",
+        f"""{bm25_sql()}, cand AS (SELECT query_id, doc_id, score AS first_score, rank AS first_rank FROM ({topk('bm', 30)})),
+        s AS (SELECT c.*, round({COVER}, 6) AS score FROM cand c JOIN queries_v q USING (query_id)
+            JOIN documents d USING (doc_id))
+        {topk('s', 10, 'score DESC, first_rank')}""",
+    ),
+)
+def _(t):
+    return r.rerank(t.queries, t.documents, r.bm25_search(t.queries, t.documents, 30), 10)
+
+
+UNIFIED = f"""u AS (SELECT query_id, doc_id, score, 'keyword' AS tier FROM ({topk('bm', 20)})
+        UNION ALL SELECT query_id, doc_id, score, 'semantic' FROM ({topk('vs', 20)})),
+    m AS (SELECT query_id, doc_id, max(score) AS score, string_agg(DISTINCT tier, '+' ORDER BY tier) AS tiers
+        FROM u GROUP BY query_id, doc_id)"""
+
+
+@add(
+    "unified_search_fast",
+    sql("queries_v", f"{bm25_sql()} SELECT query_id, doc_id, score, 'keyword' AS tiers, rank FROM ({topk('bm', 10)})"),
+)
+def _(t):
+    return r.unified_search(t.query_vectors, t.documents, t.doc_vectors, "fast")
+
+
+@add("unified_search", sql(HYBRID_VIEWS, f"{bm25_sql()}, {VEC}, {UNIFIED} {topk('m', 10)}"))
+def _(t):
+    return r.unified_search(t.query_vectors, t.documents, t.doc_vectors)
+
+
+@add(
+    "unified_search_quality",
+    sql(
+        HYBRID_VIEWS,
+        f"""{bm25_sql()}, {VEC}, {UNIFIED}, cand AS (SELECT query_id, doc_id, score AS first_score, rank AS first_rank, tiers
+            FROM ({topk('m', 40)})),
+        s AS (SELECT c.*, round({COVER}, 6) AS score FROM cand c JOIN queries_v q USING (query_id)
+            JOIN documents d USING (doc_id))
+        {topk('s', 10, 'score DESC, first_rank')}""",
+    ),
+)
+def _(t):
+    return r.unified_search(t.query_vectors, t.documents, t.doc_vectors, "quality")
+
+
+@add(
+    "source_scoped_search",
+    sql(
+        "queries_v",
+        f"""{bm25_sql()}, ok AS (SELECT bm.* FROM bm JOIN documents USING (doc_id)
+            WHERE (lang = 'de' AND source = 'src3') OR (lang <> 'de' AND source = 'src5'))
+        SELECT query_id, doc_id, score, rank FROM ({topk('ok', 10)})""",
+    ),
+)
+def _(t):
+    # German documents carry their source as connector id, the others have none
+    docs = t.documents.withColumn("connector_id", F.when(F.col("lang") == "de", F.col("source")))
+    return r.source_scoped_search(t.queries, docs, "src3", "src5")
+
+
+@add(
+    "similarity_graph",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v)
+        / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS weight FROM e a, e b WHERE a.vec_id <> b.vec_id)
+    SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM p
+        WHERE weight >= 0.3) WHERE r <= 15""",
+)
+def _(t):
+    return r.similarity_graph(t.vectors, 0.3)
+
+
+GRAPH = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v)
+        / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS weight FROM e a, e b WHERE a.vec_id <> b.vec_id),
+    edges AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r
+        FROM p WHERE weight >= 0.3) WHERE r <= 15)"""
+
+
+@add(
+    "graph_search",
+    sql(
+        "query_vec_v",
+        f"""{GRAPH}, hits AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(q.v, e.v)
+            / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM query_vec_v q, e),
+        h AS (SELECT query_id, doc_id, score AS path_score, 0 AS hops FROM ({topk('hits', 5)})),
+        s1 AS (SELECT query_id, dst AS doc_id, max(round(path_score * weight, 6)) AS path_score, 1 AS hops
+            FROM h JOIN edges ON src = doc_id GROUP BY query_id, dst),
+        s2 AS (SELECT query_id, dst AS doc_id, max(round(path_score * weight, 6)) AS path_score, 2 AS hops
+            FROM s1 JOIN edges ON src = doc_id GROUP BY query_id, dst),
+        g AS (SELECT query_id, doc_id, max(path_score) AS path_score, min(hops) AS hops
+            FROM (FROM h UNION ALL FROM s1 UNION ALL FROM s2) GROUP BY query_id, doc_id)
+        {topk('g', 20, 'path_score DESC, doc_id')}""",
+    ),
+)
+def _(t):
+    hits = r.vector_search(t.query_vectors, t.vectors, 5)
+    return r.graph_search(hits, r.similarity_graph(t.vectors, 0.3), 2, 20)
+
+
+@add("topic_communities")
+def _(t):
+    return r.label_communities(r.similarity_graph(t.vectors, 0.3))
+
+
+@add(
+    "grep_corpus",
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE contains(lower(text), 'than')),
+    x AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM l),
+    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM x WHERE contains(lower(lines[n]), 'than')),
+    c AS (SELECT doc_id, least(count(*), 10) AS match_count FROM h GROUP BY doc_id ORDER BY match_count DESC, doc_id LIMIT 20)
+    SELECT doc_id, match_count, n AS line_number, trim(lines[n]) AS line,
+    array_to_string(list_transform(lines[greatest(n - 2, 1):n - 1], lambda s: trim(s)), chr(10)) AS context_before,
+    array_to_string(list_transform(lines[n + 1:n + 2], lambda s: trim(s)), chr(10)) AS context_after
+    FROM h JOIN c USING (doc_id) WHERE r <= 10""",
+)
+def _(t):
+    return r.grep_corpus(t.documents, "Than")
+
+
+@add(
+    "glob_filenames",
+    """SELECT page_id, filename, folder FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS filename,
+    regexp_extract(url, '^https?://[^/]+/([^/?]*)', 1) AS folder FROM pages)
+    WHERE filename LIKE '%page=_&ref=%' AND folder IN ('de', 'fr')""",
+)
+def _(t):
+    files = t.pages.select(
+        "page_id",
+        F.regexp_extract("url", "([^/]*)$", 1).alias("filename"),
+        F.regexp_extract("url", "^https?://[^/]+/([^/?]*)", 1).alias("folder"),
+    )
+    return r.glob_filenames(files, "*page=?&ref=*", ("de", "fr"))
+
+
+STOP_COVER = "(" + ", ".join(f"'{w}'" for w in fixed.STOP_WORDS_COVERAGE) + ")"
+COVER_TERMS = f"""ct AS (SELECT query_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+    lambda x, i: length(x) >= 3 AND x NOT IN {STOP_COVER}
+        AND list_position(regexp_extract_all(lower(text), '[a-z0-9]+'), x) = i) AS terms FROM queries_v)"""
+
+
+@add(
+    "term_coverage_search",
+    sql(
+        "queries_v docs_v",
+        f"""{COVER_TERMS}, dt AS (SELECT doc_id, title, text AS d_text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks
+            FROM docs_v),
+        s AS (SELECT query_id, doc_id, title, round((len(list_intersect(terms, toks))
+            + CASE WHEN contains(lower(d_text), lower(text)) THEN 2 ELSE 0 END) / greatest(len(terms), 1), 4) AS score FROM ct, dt)
+        SELECT query_id, doc_id, title, score, rank FROM ({topk('(SELECT * FROM s WHERE score > 0)', 5, 'score DESC, title, doc_id')})""",
+    ),
+)
+def _(t):
+    return r.term_coverage_search(t.queries, t.docs)
+
+
+@add(
+    "best_excerpt",
+    sql(
+        "queries_v",
+        rf"""{bm25_sql()}, {COVER_TERMS},
+        p AS (SELECT h.query_id, h.doc_id, lower(d.text) AS low, d.text AS d_text, terms FROM ({topk('bm', 10)}) h
+            JOIN ct USING (query_id) JOIN documents d USING (doc_id)),
+        a AS (SELECT *, instr(low, term) AS pos FROM
+            (SELECT *, unnest(terms) AS term, generate_subscripts(terms, 1) AS o FROM p)),
+        w AS (SELECT query_id, doc_id, greatest(pos - 161, 0) AS st, o, len(list_filter(terms,
+            lambda x: contains(substring(low, greatest(pos - 161, 0) + 1, 650), x))) AS sc FROM a WHERE pos > 0),
+        b AS (SELECT query_id, doc_id, st FROM w QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sc DESC, o) = 1)
+        SELECT query_id, doc_id, coalesce(st, 0) AS excerpt_start,
+        trim(regexp_replace(substring(d_text, coalesce(st, 0) + 1, 650), '\s+', ' ', 'g')) AS excerpt
+        FROM p LEFT JOIN b USING (query_id, doc_id)""",
+    ),
+)
+def _(t):
+    hits = r.bm25_search(t.queries, t.documents)
+    pairs = hits.join(t.queries.select("query_id", F.col("text").alias("query")), "query_id").join(
+        t.documents.select("doc_id", "text"), "doc_id"
+    )
+    return r.best_excerpt(pairs.select("query_id", "doc_id", "query", "text"))

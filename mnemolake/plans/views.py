@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemolake.functions.text import tokens
+from mnemolake.operators.common import bucketed_row_number
 
 AS_OF = "2026-06-01"
 
@@ -163,8 +164,9 @@ class Tables:
             .alias("target_key"),
             F.when(turn == 0, conv).alias("source_document_id"),
         )
-        w = Window.partitionBy("workspace", "memory_key").orderBy("created_at", "doc_id")
-        return rows.withColumn("version", F.row_number().over(w))
+        return bucketed_row_number(
+            rows, ["workspace", "memory_key"], F.to_date("created_at"), [F.col("created_at"), F.col("doc_id")], "version"
+        )
 
 
 class Registry:
