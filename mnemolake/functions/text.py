@@ -64,13 +64,27 @@ def sentences(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """First suffix rule that fits; words of up to three characters stay as they are."""
-    expr = F.when(F.length(word) <= 3, word)
-    for suffix, replacement in fixed.STEM_RULES:
-        fits = F.endswith(word, F.lit(suffix)) & (F.length(word) > len(suffix) + 1)
-        cut = F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(replacement))
-        expr = expr.when(fits, cut)
-    return expr.otherwise(word)
+    """First suffix rule that fits; words of up to three characters stay as they are.
+
+    The rules are one literal map from suffix to (place, length, replacement): a word looks up its endings
+    of every length in use and takes the earliest rule.
+    """
+    first = {}
+    for place, (suffix, replacement) in enumerate(fixed.STEM_RULES):
+        first.setdefault(suffix, (place, replacement))
+    entries = []
+    for suffix, (place, replacement) in first.items():
+        rule = F.struct(
+            F.lit(place).alias("place"), F.lit(len(suffix)).alias("size"), F.lit(replacement).alias("replacement")
+        )
+        entries += [F.lit(suffix), rule]
+    rules = F.create_map(*entries)
+    sizes = sorted({len(s) for s in first})
+    found = F.array_min(
+        F.array(*[F.when(F.length(word) > n + 1, rules[F.right(word, F.lit(n))]) for n in sizes])
+    )
+    cut = F.concat(F.left(word, F.length(word) - found["size"]), found["replacement"])
+    return F.when((F.length(word) <= 3) | found.isNull(), word).otherwise(cut)
 
 
 def count_hits(text: Column, words) -> Column:

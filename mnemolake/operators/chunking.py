@@ -61,7 +61,7 @@ def chunk_documents(
     spans = long_docs.select(
         F.col("doc_id").alias("parent_id"),
         "text",
-        F.posexplode(chunk_spans(F.col("text"), size, overlap)).alias("chunk_index", "span"),
+        F.posexplode_outer(chunk_spans(F.col("text"), size, overlap)).alias("chunk_index", "span"),
     )
     return spans.select(
         F.concat_ws("#", "parent_id", "chunk_index").alias("chunk_id"),

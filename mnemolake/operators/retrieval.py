@@ -23,9 +23,10 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFra
     Counting combines inside each task, and all tokens of a document sit in one row of one task, so
     the shuffle carries one row per document and kept term.
     """
+    # outer explode: the inner one would add a filter that tokenizes every text a second time
     exploded = docs.select("doc_id", tokens(F.col("text")).alias("toks")).select(
-        "doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")
-    )
+        "doc_id", F.size("toks").alias("doc_len"), F.explode_outer("toks").alias("term")
+    ).filter(F.col("term").isNotNull())
     if vocabulary is not None:
         exploded = exploded.join(vocabulary.select("term").distinct(), "term", "left_semi")
     return exploded.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
@@ -383,7 +384,7 @@ def term_coverage_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> Dat
     q = queries.select("query_id", "text", query_terms(F.col("text"), stop).alias("terms"))
     n_terms = F.greatest(F.size("terms"), F.lit(1))
     q_terms = q.select("query_id", n_terms.alias("n_terms"), F.explode("terms").alias("term"))
-    doc_terms = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    doc_terms = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term"))
     hits = (
         doc_terms.join(q_terms, "term")
         .groupBy("query_id", "doc_id", "n_terms")
