@@ -37,15 +37,17 @@ def capture_stats(messages: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
-def conversation_documents(messages: DataFrame, heads: DataFrame) -> DataFrame:
+def conversation_documents(messages: DataFrame, heads: DataFrame, part_turns: int = 1000) -> DataFrame:
     """One markdown document per conversation.
 
-    ``heads``: conv_id, title, site_name, url, captured. A document holds its own conversation only.
+    ``heads``: conv_id, title, site_name, url, captured. Conversations of more than ``part_turns`` turns
+    come in numbered parts, so none is ever gathered whole; the parts joined give the document.
     """
     block = lambda m: F.concat(
         F.when(m["role"] == "user", "**User:**").otherwise("**Assistant:**"), F.lit("\n"), m["text"], F.lit("\n")
     )
-    bodies = messages.groupBy("conv_id").agg(
+    part = F.floor(F.col("turn") / part_turns).alias("part")
+    bodies = messages.groupBy("conv_id", part).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), block), "\n").alias("body"),
         F.count("*").alias("message_count"),
     )
@@ -53,7 +55,8 @@ def conversation_documents(messages: DataFrame, heads: DataFrame) -> DataFrame:
         F.lit("# "), F.col("title"), F.lit("\n\n**Source:** "), F.col("site_name"), F.lit(" Conversation\n**URL:** "),
         F.col("url"), F.lit("\n**Captured:** "), F.col("captured"), F.lit("\n\n---\n\n"),
     )
-    return heads.join(bodies, "conv_id").select("conv_id", F.concat(head, F.col("body")).alias("text"), "message_count")
+    head = F.when(F.col("part") == 0, head).otherwise("")
+    return heads.join(bodies, "conv_id").select("conv_id", "part", F.concat(head, F.col("body")).alias("text"), "message_count")
 
 
 def list_conversations(messages: DataFrame, site: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

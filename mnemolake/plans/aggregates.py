@@ -64,7 +64,7 @@ def _(t):
     "conversation_documents",
     f"""WITH b AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '**User:**' ELSE '**Assistant:**' END || chr(10) || text || chr(10),
         chr(10) ORDER BY turn) AS body, count(*) AS message_count, strftime(max({TS}), '%Y-%m-%dT%H:%M:%SZ') AS cap FROM conversations GROUP BY conv_id)
-    SELECT conv_id, '# Chat ' || conv_id || chr(10) || chr(10) || '**Source:** ' || CASE conv_id % 2 WHEN 0 THEN 'ChatGPT' ELSE 'Claude' END
+    SELECT conv_id, 0 AS part, '# Chat ' || conv_id || chr(10) || chr(10) || '**Source:** ' || CASE conv_id % 2 WHEN 0 THEN 'ChatGPT' ELSE 'Claude' END
     || ' Conversation' || chr(10) || '**URL:** https://chat.example.com/c/' || conv_id || chr(10) || '**Captured:** ' || cap || chr(10) || chr(10)
     || '---' || chr(10) || chr(10) || body AS text, message_count FROM b""",
 )
