@@ -72,7 +72,7 @@ def _(t):
     return c.consent_time(docs(t), AS_OF, relative="-6m", before="2026-03-01").select("doc_id")
 
 
-STAGE = f"""{CONS}, st AS (SELECT doc_id, CASE WHEN NOT ({allowed_sql('work_only')} OR {allowed_sql('health_focus')}) THEN 'category'
+STAGE = f"""{CONS}, stg AS (SELECT doc_id, CASE WHEN NOT ({allowed_sql('work_only')} OR {allowed_sql('health_focus')}) THEN 'category'
     WHEN NOT ({DOC_RULE}) THEN 'document' WHEN NOT (doc_date IS NULL OR doc_date >= DATE '{AS_OF}' - 180) THEN 'time' ELSE 'kept' END AS stage FROM cons)"""
 
 
@@ -81,12 +81,12 @@ def staged(t):
     return c.consent_stage(docs(t), AS_OF, allowed, (), document_rules(t), {"relative": "-6m"})
 
 
-@add("consent_filter", sql("docs_v", f"{STAGE} SELECT doc_id, stage FROM st"))
+@add("consent_filter", sql("docs_v", f"{STAGE} SELECT doc_id, stage FROM stg"))
 def _(t):
     return staged(t).select("doc_id", "stage")
 
 
-@add("consent_filter_stats", sql("docs_v", f"{STAGE} SELECT stage, count(*) AS n FROM st GROUP BY stage"))
+@add("consent_filter_stats", sql("docs_v", f"{STAGE} SELECT stage, count(*) AS n FROM stg GROUP BY stage"))
 def _(t):
     return c.consent_stats(staged(t))
 
@@ -109,7 +109,7 @@ def _(t):
     "consented_search",
     sql(
         "queries_v docs_v",
-        f"""{bm25_sql()}, {STAGE}, ok AS (SELECT query_id, doc_id, b.score FROM ({topk('bm', 30)}) b JOIN st USING (doc_id) WHERE stage = 'kept')
+        f"""{bm25_sql()}, {STAGE}, ok AS (SELECT query_id, doc_id, b.score FROM ({topk('bm', 30)}) b JOIN stg USING (doc_id) WHERE stage = 'kept')
         SELECT query_id, doc_id, score, rank FROM ({topk('ok', 10)})""",
     ),
 )
@@ -121,7 +121,7 @@ def _(t):
     "consented_search_stats",
     sql(
         "queries_v docs_v",
-        f"""{bm25_sql()}, {STAGE} SELECT query_id, stage, count(*) AS n FROM ({topk('bm', 30)}) b JOIN st USING (doc_id) GROUP BY ALL""",
+        f"""{bm25_sql()}, {STAGE} SELECT query_id, stage, count(*) AS n FROM ({topk('bm', 30)}) b JOIN stg USING (doc_id) GROUP BY ALL""",
     ),
 )
 def _(t):

@@ -1,3 +1,387 @@
-from mnemolake.plans.views import Registry
+"""Personal-data queries over the whole document table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from mnemolake.functions import fixed
+from mnemolake.functions.text import safe_concept_label, safe_entity_label
+from mnemolake.operators import consent, perturb, pii, retrieval as r, spans as sp
+from mnemolake.plans.enrichment import ascii_only, quoted
+from mnemolake.plans.retrieval import bm25_sql, topk
+from mnemolake.plans.views import Registry, sql
 
 registry = Registry()
+add = registry.add
+
+SECRET = "check-secret"
+SEP = "chr(31)"
+LUHN = """(list_sum(list_transform(string_split(regexp_replace({v}, '[^0-9]', '', 'g'), ''), lambda c, i:
+    CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) * 2 - CASE WHEN CAST(c AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(c AS INTEGER) END)) % 10 = 0)"""
+
+
+def found_sql(kind: str, pattern: str, score: float) -> str:
+    # a word boundary before the match is Unicode-aware in the job: spell it out for RE2
+    if pattern.startswith(r"\b"):
+        rx, group = r"(?:^|[^\p{L}\p{N}_])(" + pattern[2:] + ")", 1
+    else:
+        rx, group = pattern, 0
+    return f"SELECT doc_id, source, '{kind}' AS pii_type, {score}::DOUBLE AS score, unnest(regexp_extract_all(text, {quoted(rx)}, {group})) AS value FROM documents"
+
+
+SPANS = f"""sp0 AS ({' UNION ALL '.join(found_sql(*p) for p in fixed.PII_PATTERNS)}),
+    spans AS (SELECT * FROM sp0 WHERE pii_type <> 'CREDIT_CARD' OR {LUHN.format(v='value')})"""
+
+
+def detected(t):
+    return pii.detect_pii(t.documents)
+
+
+def span_rows(t):
+    return pii.span_table(detected(t)).join(t.documents.select("doc_id", "source"), "doc_id")
+
+
+@add("detect_pii", f"WITH {SPANS} SELECT doc_id, pii_type, value, score, count(*) AS n FROM spans GROUP BY ALL")
+def _(t):
+    return pii.span_table(detected(t)).groupBy("doc_id", "pii_type", "value", "score").agg(F.count("*").alias("n"))
+
+
+@add("pii_spans")
+def _(t):
+    return pii.span_table(detected(t))
+
+
+@add("resolve_overlaps")
+def _(t):
+    rows = detected(t).withColumn("spans", pii.resolve_overlaps(F.col("spans")))
+    return pii.span_table(rows)
+
+
+def redact_sql(expr: str) -> str:
+    for pattern, label in fixed.REDACTIONS:
+        expr = f"regexp_replace({expr}, {quoted(pattern)}, '{label}', 'g')"
+    return expr
+
+
+@add("redact_fixed", f"SELECT doc_id, {redact_sql('text')} AS text FROM documents")
+def _(t):
+    return t.documents.select("doc_id", pii.redact_fixed(F.col("text")).alias("text"))
+
+
+def token_sql(session: str, kind: str, value: str) -> str:
+    norm = rf"lower(trim(regexp_replace({value}, '\s+', ' ', 'g')))"
+    return f"'<PII:' || {kind} || ':' || left(sha256('{SECRET}' || {SEP} || {session} || {SEP} || {kind} || {SEP} || {norm}), 16) || '>'"
+
+
+def anonymized(t, **kw):
+    return pii.anonymize(detected(t), SECRET, F.col("source"), **kw)
+
+
+def anonymize_sql(kinds=None) -> str:
+    """Texts with matches replaced, for data where matches of different patterns never overlap."""
+    rows = [p for p in fixed.PII_PATTERNS if kinds is None or p[0] in kinds]
+    every = "|".join(f"(?:{p})" for _, p, _ in fixed.PII_PATTERNS)
+    best = sorted(rows, key=lambda p: -p[2])
+    kind = "CASE " + " ".join(
+        f"WHEN regexp_full_match(x, {quoted(p)}){' AND ' + LUHN.format(v='x') if k == 'CREDIT_CARD' else ''} THEN '{k}'" for k, p, _ in best
+    ) + " END"
+    return f"""parts AS (SELECT doc_id, source, string_split(regexp_replace(text, {quoted(every)}, chr(9246), 'g'), chr(9246)) AS p,
+        regexp_extract_all(text, {quoted(every)}) AS m FROM documents),
+    pieces AS (SELECT doc_id, source, unnest(p) AS piece, unnest(m || [NULL]) AS x, generate_subscripts(p, 1) AS i FROM parts),
+    kinds AS (SELECT *, {kind} AS kind FROM pieces),
+    anon AS (SELECT doc_id, string_agg(piece || CASE WHEN kind IS NOT NULL THEN {token_sql('source', 'kind', 'x')} ELSE coalesce(x, '') END, '' ORDER BY i) AS anonymized,
+        count(kind) AS token_count, array_to_string(list_sort(list_distinct(list(kind))), '|') AS types FROM kinds GROUP BY doc_id)"""
+
+
+@add("anonymize", f"WITH {anonymize_sql()} SELECT * FROM anon")
+def _(t):
+    return anonymized(t).select("doc_id", "anonymized", "token_count", "types")
+
+
+OPEN = ("EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS")
+CLOSED = [k for k in dict.fromkeys(p[0] for p in fixed.PII_PATTERNS) if k not in ("EMAIL_ADDRESS", "IP_ADDRESS")]
+
+
+@add("anonymize_with_consent", f"WITH {anonymize_sql(CLOSED)} SELECT * FROM anon")
+def _(t):
+    return anonymized(t, keep=pii.consent_keep(OPEN)).select("doc_id", "anonymized", "token_count", "types")
+
+
+@add(
+    "critical_override",
+    f"""WITH {SPANS} SELECT pii_type, pii_type IN {tuple(fixed.CRITICAL_PII_TYPES)} AS anonymize, count(*) AS n FROM spans GROUP BY ALL""",
+)
+def _(t):
+    decided = consent.pii_decision(pii.span_table(detected(t)), fixed.PII_TYPES)
+    return decided.groupBy("pii_type", "anonymize").agg(F.count("*").alias("n"))
+
+
+@add(
+    "fail_closed",
+    f"WITH {anonymize_sql()} SELECT doc_id, CASE WHEN lang = 'es' THEN {quoted(pii.NOTICE)} ELSE anonymized END AS anonymized FROM anon JOIN documents USING (doc_id)",
+)
+def _(t):
+    rows = detected(t).withColumn("failed", F.col("lang") == "es")  # no detector for this language
+    return pii.anonymize(rows, SECRET, F.col("source")).select("doc_id", "anonymized")
+
+
+@add(
+    "build_token_dictionary",
+    f"""WITH {SPANS} SELECT source AS session_id, pii_type, {token_sql('source', 'pii_type', 'value')} AS token,
+    arg_min(value, doc_id) AS original, count(*) AS uses FROM spans GROUP BY 1, 2, 3""",
+)
+def _(t):
+    return pii.build_token_dictionary(anonymized(t), SECRET, F.col("source"))
+
+
+def masked_texts(t):
+    return anonymized(t).select(F.col("doc_id").alias("row_id"), F.col("source").alias("session_id"), F.col("anonymized").alias("text"))
+
+
+@add("deanonymize", "SELECT doc_id AS row_id, source AS session_id, text AS restored, 0 AS unknown_tokens, 'ok' AS status FROM documents")
+def _(t):
+    sessions = t.documents.select(F.col("source").alias("session_id")).distinct()
+    return pii.deanonymize(masked_texts(t), pii.build_token_dictionary(anonymized(t), SECRET, F.col("source")), sessions)
+
+
+@add(
+    "deanonymize_status",
+    f"""WITH {anonymize_sql()} SELECT d.doc_id AS row_id, CASE WHEN source IN ('src1', 'src2') THEN anonymized ELSE text END AS restored,
+    CASE source WHEN 'src1' THEN 'missing_session' WHEN 'src2' THEN 'expired_session' ELSE 'ok' END AS status
+    FROM documents d JOIN anon USING (doc_id)""",
+)
+def _(t):
+    tokens = pii.build_token_dictionary(anonymized(t), SECRET, F.col("source"))
+    ends = F.when(F.col("session_id") == "src2", "2026-05-01").otherwise("2026-07-01").cast("timestamp")
+    sessions = t.documents.select(F.col("source").alias("session_id")).distinct().filter("session_id <> 'src1'")
+    out = pii.deanonymize(masked_texts(t), tokens, sessions.withColumn("expires_at", ends), "2026-06-01")
+    return out.select("row_id", "restored", "status")
+
+
+@add("deanonymize_perturbed", sql("entity_tokens", "SELECT doc_id || '/' || name AS row_id, doc_id AS session_id, 'seen ' || name || ' here, not x' || reverse(name) AS restored FROM entity_tokens WHERE reverse(name) <> name"))
+def _(t):
+    names = t.entities.filter(F.reverse("name") != F.col("name"))
+    back = F.reverse("name")
+    texts = names.select(
+        F.concat_ws("/", "doc_id", "name").alias("row_id"), F.col("doc_id").alias("session_id"),
+        F.concat(F.lit("seen "), F.upper(back), F.lit(" here, not x"), back).alias("text"),
+    )
+    mappings = names.select(
+        F.col("doc_id").alias("session_id"), F.lit("PERSON").alias("pii_type"), back.alias("perturbed"), F.col("name").alias("original")
+    )
+    return pii.deanonymize_perturbed(texts, mappings)
+
+
+EXPOSED = ("EMAIL_ADDRESS",)
+
+
+@add(
+    "pii_stats",
+    f"""WITH {SPANS} SELECT count(*) FILTER (pii_type <> 'EMAIL_ADDRESS') AS anonymized, count(*) FILTER (pii_type = 'EMAIL_ADDRESS') AS exposed,
+    array_to_string(list_sort(list_distinct(list(pii_type))), '|') AS types, 0 AS persons FROM spans""",
+)
+def _(t):
+    return pii.pii_stats(consent.pii_decision(pii.span_table(detected(t)), EXPOSED))
+
+
+EPS = "CASE pii_type " + " ".join(f"WHEN '{k}' THEN {fixed.EPSILON_PRESETS['default'][v]}" for k, v in fixed.PII_SENSITIVITY.items()) + " ELSE 1.0 END::DOUBLE"
+SENS = "CASE pii_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.PII_SENSITIVITY.items()) + " ELSE 'medium' END"
+
+
+@add("epsilon_lookup", f"WITH {SPANS} SELECT DISTINCT pii_type, {SENS} AS sensitivity, {EPS} AS epsilon FROM spans")
+def _(t):
+    return perturb.epsilon_lookup(pii.span_table(detected(t)).select("pii_type").distinct())
+
+
+@add("privacy_budget", f"WITH {SPANS} SELECT source, round(sum({EPS}), 6) AS total_epsilon, count(*) AS perturbations FROM spans GROUP BY source")
+def _(t):
+    return perturb.privacy_budget(span_rows(t), "source")
+
+
+DIGITS = f"""dv AS (SELECT DISTINCT pii_type, value FROM spans WHERE pii_type IN ('PHONE_NUMBER', 'CREDIT_CARD', 'IP_ADDRESS')),
+    ch AS (SELECT pii_type, value, unnest(string_split(value, '')) AS c, generate_subscripts(string_split(value, ''), 1) - 1 AS i FROM dv),
+    un AS (SELECT *, (('0x' || left(md5('{SECRET}' || {SEP} || value || {SEP} || i), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM ch),
+    no AS (SELECT *, round_even(CAST(nullif(regexp_extract(c, '^[0-9]$'), '') AS DOUBLE)
+        + -((CASE pii_type WHEN 'CREDIT_CARD' THEN 3.0 ELSE 1.0 END)::DOUBLE / {EPS}) * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5)), 0) AS d FROM un)"""
+
+
+@add(
+    "perturb_digits",
+    f"""WITH {SPANS}, {DIGITS} SELECT pii_type, value, string_agg(CASE WHEN d IS NULL THEN c ELSE CAST(CAST(((d % 10) + 10) % 10 AS BIGINT) AS VARCHAR) END, '' ORDER BY i) AS perturbed
+    FROM no GROUP BY pii_type, value""",
+)
+def _(t):
+    kinds = ("PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS")
+    values = pii.span_table(detected(t)).filter(F.col("pii_type").isin(*kinds)).select("pii_type", "value").distinct()
+    kind = F.col("pii_type")
+    noisy = perturb.perturb_digits(F.col("value"), perturb.epsilon(kind), SECRET, perturb.digit_sensitivity(kind))
+    return values.select("pii_type", "value", noisy.alias("perturbed"))
+
+
+@add("perturb_dates")
+def _(t):
+    formats = [perturb._padded(p) for p, _ in fixed.DATE_FORMATS]
+    stamp = F.timestamp_add("MINUTE", (F.col("doc_id") % 1440).cast("int"), F.col("doc_date").cast("timestamp"))
+    written = F.array(*[F.date_format(stamp, f) for f in formats])
+    rows = t.docs.filter("doc_date is not null").select(
+        "doc_id", F.element_at(written, (F.col("doc_id") % len(formats) + 1).cast("int")).alias("value")
+    )
+    return rows.withColumn("perturbed", perturb.perturb_dates(F.col("value"), F.lit(2.0), SECRET))
+
+
+@add(
+    "perturb_words",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v)
+        / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS sim FROM e a, e b WHERE a.vec_id <> b.vec_id),
+    c AS (SELECT 'w' || src AS word, 'w' || dst AS candidate, sim FROM p QUALIFY sim >= 0.2 AND row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 20),
+    s AS (SELECT *, round(1.0::DOUBLE * sim / 2 + -ln(-ln((('0x' || left(md5('{SECRET}' || {SEP} || word || {SEP} || candidate), 12))::BIGINT + 0.5::DOUBLE)
+        / 281474976710656.0::DOUBLE)), 9) AS sc FROM c WHERE sim <= 0.95)
+    SELECT word, candidate AS perturbed FROM s QUALIFY row_number() OVER (PARTITION BY word ORDER BY sc DESC, candidate) = 1""",
+)
+def _(t):
+    near = r.similarity_graph(t.vectors, 0.2, 20)
+    word = lambda c: F.concat(F.lit("w"), F.col(c))
+    candidates = near.select(word("src").alias("word"), word("dst").alias("candidate"), F.col("weight").alias("similarity"))
+    words = t.vectors.select(word("doc_id").alias("word")).join(candidates, "word", "left_semi")
+    return perturb.perturb_words(words, candidates, 1.0, SECRET)
+
+
+NAMES = [a + b for a in ("Ala", "Bre", "Cor", "Dan", "Eli", "Fin", "Gre", "Han") for b in ("bel", "don", "mir", "nas", "ric", "ton")]
+
+
+@add("perturb_names")
+def _(t):
+    names = t.entity_lists.filter("size(organizations) > 0 and size(locations) > 0").select(
+        F.col("doc_id").alias("session_id"), F.concat_ws(" ", F.get("organizations", F.lit(0)), F.get("locations", F.lit(0))).alias("full_name")
+    )
+    return perturb.perturb_names(names, NAMES, [n + "son" for n in NAMES], SECRET)
+
+
+@add("perturb_email")
+def _(t):
+    emails = pii.span_table(detected(t)).filter("pii_type = 'EMAIL_ADDRESS'").select("value").distinct()
+    return emails.withColumn("perturbed", perturb.perturb_email(F.col("value"), F.lit(0.5), SECRET, NAMES))
+
+
+@add("perturb_address")
+def _(t):
+    rows = t.entity_lists.filter("size(locations) > 0").select(
+        "doc_id", F.concat(F.col("doc_id") % 900 + 1, F.lit(" "), F.get("locations", F.lit(0)), F.lit(" St., Oldtown; "), F.col("doc_id") % 90000 + 10000).alias("value")
+    )
+    return rows.withColumn("perturbed", perturb.perturb_address(F.col("value"), F.lit(1.0), SECRET, NAMES))
+
+
+GROUPS = r"\b(?:\d{1,4}\s+){2,}\d{1,4}\b"
+
+
+# phone and card numbers read aloud: separators become blanks
+@add(
+    "normalize_digit_groups",
+    rf"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(\d)[-.](\d)', '\1 \2', 'g'), '(\d{{4}})(\d{{4}})', '\1 \2 ', 'g') AS x FROM documents),
+    p AS (SELECT doc_id, string_split(regexp_replace(x, {quoted(GROUPS)}, chr(9246), 'g'), chr(9246)) AS p, regexp_extract_all(x, {quoted(GROUPS)}) AS m FROM s),
+    u AS (SELECT doc_id, unnest(p) AS piece, unnest(m || ['']) AS x, generate_subscripts(p, 1) AS i FROM p)
+    SELECT doc_id, string_agg(piece || CASE WHEN length(regexp_replace(x, '\s+', '', 'g')) BETWEEN 9 AND 19 THEN regexp_replace(x, '\s+', '', 'g') ELSE x END, '' ORDER BY i) AS text,
+    count(*) FILTER (length(regexp_replace(x, '\s+', '', 'g')) BETWEEN 9 AND 19) AS joined FROM u GROUP BY doc_id""",
+)
+def _(t):
+    spoken = F.regexp_replace(F.regexp_replace("text", r"(\d)[-.](\d)", "$1 $2"), r"(\d{4})(\d{4})", "$1 $2 ")
+    rows = t.documents.select("doc_id", spoken.alias("x"))
+    return rows.select(
+        "doc_id", sp.normalize_digit_groups(F.col("x")).alias("text"), F.size(sp.digit_group_map(F.col("x"))).alias("joined")
+    )
+
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@add(
+    "spans_to_time",
+    rf"""WITH s AS (SELECT doc_id, instr(text, e) - 1 AS a, instr(text, e) - 1 + length(e) AS b FROM (SELECT doc_id, text, regexp_extract(text, '{EMAIL}') AS e FROM documents) WHERE e <> ''),
+    w0 AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
+    w AS (SELECT doc_id, pos, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cs, length(w) AS n FROM w0)
+    SELECT s.doc_id, 0 AS span_id, round(min(pos * 0.4::DOUBLE), 6) AS start_time, round(max(pos * 0.4::DOUBLE + 0.4::DOUBLE), 6) AS end_time, count(DISTINCT cs) AS words
+    FROM s JOIN w ON w.doc_id = s.doc_id AND cs < b AND cs + n > a GROUP BY s.doc_id""",
+)
+def _(t):
+    mail = F.regexp_extract("text", EMAIL, 0)
+    at = F.position(F.col("e"), F.col("text")) - 1
+    found = t.documents.select("doc_id", "text", mail.alias("e")).filter("e <> ''").select(
+        "doc_id", F.lit(0).alias("span_id"), at.alias("start"), (at + F.length("e")).alias("end")
+    )
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    split = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    words = split.withColumn("char_start", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0))).select(
+        "doc_id", "char_start", (F.col("char_start") + F.length("w")).alias("char_end"),
+        (F.col("pos") * 0.4).alias("time_start"), (F.col("pos") * 0.4 + 0.4).alias("time_end"),
+    )
+    out = sp.spans_to_time(found, words)
+    return out.withColumn("start_time", F.round("start_time", 6)).withColumn("end_time", F.round("end_time", 6))
+
+
+@add("redact_transcript", f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g') AS text FROM documents")
+def _(t):
+    mails = F.array_distinct(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))
+    regions = F.transform(mails, lambda m: F.struct(m.alias("original"), F.lit("[EMAIL]").alias("replacement")))
+    return t.documents.select("doc_id", sp.redact_transcript(F.col("text"), regions).alias("text"))
+
+
+@add(
+    "spans_to_boxes",
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+    s AS (SELECT doc_id, n, line, regexp_extract(line, '{EMAIL}') AS e FROM l),
+    b AS (SELECT doc_id, n, 40 AS x, n * 14 AS y, 7 * length(line) + 3 AS w, instr(line, e) - 1 AS a, instr(line, e) - 1 + length(e) AS z, length(line) AS k FROM s WHERE e <> ''),
+    c AS (SELECT *, greatest(x, x + floor(w * a / k) - floor(w / k * 0.3)) AS px FROM b)
+    SELECT doc_id, n AS line_no, px::BIGINT AS box_x, y AS box_y, (least(x + w, px + floor(w * ((z - a) / k)) + 2 * floor(w / k * 0.3)) - px)::BIGINT AS box_width, 12 AS box_height FROM c""",
+)
+def _(t):
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    mail = F.regexp_extract("text", EMAIL, 0)
+    at = F.position(F.col("e"), F.col("text")) - 1
+    rows = lines.withColumn("e", mail).filter("e <> ''").select(
+        "doc_id", "line_no", "text", F.lit(40).alias("x"), (F.col("line_no") * 14).alias("y"), (F.length("text") * 7 + 3).alias("width"),
+        F.lit(12).alias("height"), at.alias("start"), (at + F.length("e")).alias("end"),
+    )
+    return sp.spans_to_boxes(rows).drop("start", "end")
+
+
+@add(
+    "safe_label",
+    rf"""WITH w AS (SELECT DISTINCT label FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS label FROM documents) WHERE label <> ''),
+    u AS (SELECT label, {ascii_only('label', '_')} AS z FROM w)
+    SELECT label, length(label) BETWEEN 3 AND 120 AND NOT contains(label, '@') AND NOT regexp_matches(z, '\b\d{{3}}[-\s]?\d{{2}}[-\s]?\d{{4}}\b')
+        AND regexp_matches(label, '[a-zA-Z]') AS safe_concept,
+    length(label) BETWEEN 2 AND 100 AND NOT contains(label, '@') AND NOT regexp_matches(z, '\b\d{{3}}[-.\s]?\d{{2}}[-.\s]?\d{{4}}\b')
+        AND NOT regexp_matches(z, '\(\d{{3}}\)\s*\d{{3}}-\d{{4}}') AND NOT regexp_matches(z, '\b(?:\d{{4}}[-\s]){{2,4}}\d{{3,4}}\b') AND NOT regexp_matches(z, '\b\d{{6,}}\b')
+        AND NOT (starts_with(label, '[') AND ends_with(label, ']') AND NOT contains(upper(label), 'PERSON')) AND regexp_matches(label, '[a-zA-Z]') AS safe_entity FROM u""",
+)
+def _(t):
+    labels = t.documents.select(F.explode(F.split("text", r"\s+")).alias("label")).filter("label <> ''").distinct()
+    return labels.select("label", safe_concept_label(F.col("label")).alias("safe_concept"), safe_entity_label(F.col("label")).alias("safe_entity"))
+
+
+@add(
+    "redact_count_keys",
+    rf"""WITH w AS (SELECT label AS key, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS label FROM documents) GROUP BY label)
+    SELECT {redact_sql('key')} AS key, sum(n)::BIGINT AS n FROM w GROUP BY 1""",
+)
+def _(t):
+    words = t.documents.select(F.explode(F.split("text", r"\s+")).alias("key"))
+    return pii.redact_count_keys(words.groupBy("key").agg(F.count("*").alias("n")))
+
+
+@add("mark_anonymized")
+def _(t):
+    rows = detected(t).withColumn("values", F.transform("spans", lambda s: s["value"]))
+    marked = pii.mark_values(rows.select("doc_id", "text", "values"))
+    return marked.select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.*")
+
+
+@add("rag_context")
+def _(t):
+    hits = r.hybrid_search(t.query_vectors, t.documents, t.doc_vectors, 5, min_score=0.4)
+    shown = r.search_with_excerpt(hits, t.documents.withColumn("key_passages", F.array().cast("array<string>")))
+    rows = pii.detect_pii(shown.withColumnRenamed("excerpt", "text"))
+    # one dictionary per question: the same value reads the same in all of its excerpts
+    masked = pii.anonymize(rows, SECRET, F.col("query_id"))
+    return masked.select("query_id", "rank", "doc_id", "score", F.col("anonymized").alias("context"), "token_count")
