@@ -37,7 +37,7 @@ def results(t, k: int = 24):
     excerpt = clean_excerpt(F.col("text"))
     names = F.array_distinct(F.regexp_extract_all(excerpt, F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
     docs = docs.withColumn("excerpt", excerpt).withColumn("names", names).select(
-        "doc_id", "title", "excerpt", "date", "source", "topics",
+        "doc_id", "title", "text", "date", "source", "topics",
         F.filter("names", lambda n: F.length(n) % 2 == 0).alias("organizations"),
         F.filter("names", lambda n: F.length(n) % 2 == 1).alias("locations"),
         F.filter("names", lambda n: F.endswith(n, F.lit("er"))).alias("persons"),
@@ -47,7 +47,8 @@ def results(t, k: int = 24):
 
 
 def bundled(t):
-    return rs.bundle(t.queries, rs.citations(results(t)))
+    # several tables are derived from the bundle: keep it once it is computed
+    return rs.bundle(t.queries, rs.citations(results(t))).persist()
 
 
 VIEWS = "queries_v docs_v"
