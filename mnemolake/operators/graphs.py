@@ -27,7 +27,7 @@ def knowledge_graph(
     if limit_documents is not None:
         docs = docs.orderBy(F.desc_nulls_last("doc_date"), F.asc("doc_id")).limit(limit_documents)
     ids = docs.select("doc_id")
-    topic = F.lower(F.explode_outer("topics"))
+    topic = F.explode_outer(F.transform("topics", lambda x: F.lower(x)))
     has_topic = docs.select("doc_id", topic.alias("name")).filter("name is not null and trim(name) <> ''").distinct()
     topics = has_topic.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= min_connections)
     topic_edges = top_k(has_topic.join(topics, "name"), ["doc_id"], [F.desc("n"), F.asc("name")], topic_edges_per_doc, "r").select(
