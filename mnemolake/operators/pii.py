@@ -111,13 +111,10 @@ def rebuild(text: Column, spans: Column, replacement) -> Column:
 
 def rebuild_matches(text: Column, pattern: str, replacement) -> Column:
     """The text with every match of a pattern replaced by ``replacement(match)``."""
+    # zip_with computes both arrays once per text; looking one up inside a lambda would compute it per element
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(
-        F.transform(
-            parts, lambda p, i: F.when(i < F.size(found), F.concat(p, replacement(F.get(found, i)))).otherwise(p)
-        ),
-        "",
-    )
+    joined = F.zip_with(parts, found, lambda p, m: F.when(m.isNull(), p).otherwise(F.concat(p, replacement(m))))
+    return F.array_join(joined, "")
 
 
 def normalized_value(value: Column) -> Column:

@@ -43,8 +43,8 @@ def digit_group_map(text: Column) -> Column:
             F.when(fits, F.array_append(acc["out"], row)).otherwise(acc["out"]).alias("out"),
         ).cast(kind)
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(parts, i).alias("p"), m.alias("m")))
-    return F.aggregate(pairs, zero, step)["out"]
+    pairs = F.zip_with(parts, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step)["out"]
 
 
 def spans_to_time(spans: DataFrame, words: DataFrame, width: int = 64) -> DataFrame:

@@ -99,7 +99,7 @@ def shaped(t):
         WHEN 5 THEN 'message' WHEN 6 THEN 'data' ELSE 'generic' END AS kind,
         CASE k WHEN 0 THEN text WHEN 1 THEN '# ' || title || nl || nl || text WHEN 2 THEN '# E' || doc_id || nl || nl || 'Database: ' || title || nl || nl || 'lang: ' || lang || nl || 'source: ' || source
             WHEN 3 THEN {STRIP.format(c="title || nl || nl || text || nl || nl || source || nl || lang")} WHEN 4 THEN {STRIP.format(c="'Comment on: ' || title || nl || nl || text")}
-            WHEN 5 THEN '[' || source || ']: ' || text WHEN 6 THEN 'Facebook interests:' || nl || array_to_string(list_filter([title, text, source], lambda v: length(v) > 3), nl) ELSE text END AS text,
+            WHEN 5 THEN '[' || source || ']: ' || text WHEN 6 THEN 'Facebook interests:' || nl || array_to_string(list_filter([title, text, source], lambda v: length(v) > 3), chr(10)) ELSE text END AS text,
         CASE k WHEN 2 THEN 'E' || doc_id WHEN 6 THEN 'interests' WHEN 7 THEN 'N' ELSE title END AS title, k, text AS raw_text FROM s)
     SELECT export_id, part, kind, text, title FROM o WHERE NOT (k = 5 AND length(raw_text) < 5) AND NOT (k IN (0, 1, 4, 7) AND raw_text = '')""",
 )

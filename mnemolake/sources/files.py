@@ -20,9 +20,7 @@ def scan_text_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents of a folder and the files that gave none (with a reason). One row per file."""
     glob = "*.{" + ",".join(extensions) + "}"
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=glob)
     full = F.col("_metadata.file_path")
     rows = files.select(
         strip(F.col("value")).alias("text"),
@@ -31,7 +29,7 @@ def scan_text_corpus(
         F.lower(F.regexp_extract(full, r"\.([^./]+)$", 1)).alias("extension"),
         *[F.lit(v).alias(k) for k, v in (metadata or {}).items()],
     ).filter(_visible(F.col("path")))
-    root = F.lit("/" + path.split("://", 1)[-1].strip("/") + "/")
+    root = "/" + path.split("://", 1)[-1].strip("/") + "/"
     rows = rows.withColumn("relative_path", F.substring_index(F.url_decode("path"), root, -1))
     empty = F.col("text") == ""
     return rows.filter(~empty), rows.filter(empty).select("path", F.lit("empty text").alias("reason"))
