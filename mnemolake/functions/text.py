@@ -2,12 +2,67 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from mnemolake.functions import fixed
 
+# Unicode white space and word characters spelled out: much faster than the engine's Unicode mode
+SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = r"[\p{L}\p{N}_]"
+
+
+def unicode_regex(pattern: str) -> str:
+    r"""A pattern whose ``\b \s \w \d`` know all of Unicode, on any Java version."""
+    for short, full in ((r"\b", r"(?U:\b)"), (r"\s", SPACE), (r"\w", WORD), (r"\d", r"\p{Nd}")):
+        pattern = pattern.replace(short, full)
+    return pattern
+
+
+def required_words(pattern: str) -> list[str]:
+    """Lowercase literals of which a match must contain one; empty if the pattern names none."""
+    group = re.search(r"\((?:\?:)?([A-Za-z :'|-]{4,})\)(?![?*{])", pattern)
+    if group and "|" not in pattern.replace(group.group(), ""):
+        words = [w.lower() for w in group.group(1).split("|")]
+    elif "(" not in pattern:
+        heads = [re.match(r"(?:\\b)?([a-z:,-]{2,})(?![?*{])", part) for part in pattern.split("|")]
+        words = [h.group(1) if h else "" for h in heads]
+    else:
+        words = [""]
+    if "" in words:
+        return []
+    return [w for w in words if not any(o != w and o in w for o in words)]
+
+
+def has_match(text: Column, pattern: str, ignore_case: bool = False, low: Column | None = None) -> Column:
+    """Whether a pattern matches somewhere. A plain substring test runs first where the pattern allows it."""
+    hit = F.rlike(text, F.lit(("(?i)" if ignore_case else "") + unicode_regex(pattern)))
+    words = required_words(pattern)
+    if not words:
+        return F.rlike(text, F.lit(r"\p{Nd}")) & hit if r"\d" in pattern and "|" not in pattern else hit
+    low = F.lower(text) if low is None else low
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) & hit
+
+
+def find_all(text: Column, pattern: str, group: int = 0, ignore_case: bool = False, low: Column | None = None) -> Column:
+    """All matches of a pattern (or of one group), first to last."""
+    found = F.regexp_extract_all(text, F.lit(("(?i)" if ignore_case else "") + unicode_regex(pattern)), F.lit(group))
+    words = required_words(pattern)
+    if words:
+        some = reduce(lambda a, b: a | b, [F.contains(F.lower(text) if low is None else low, F.lit(w)) for w in words])
+    elif r"\d" in pattern:
+        some = F.rlike(text, F.lit(r"\p{Nd}"))
+    else:
+        return found
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for values used several times inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def tokens(text: Column) -> Column:
     """Lowercased runs of ASCII letters and digits, in order."""
@@ -28,12 +83,12 @@ def long_terms(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not just blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def preview(text: Column, limit: int, keep: int | None = None) -> Column:
@@ -60,7 +115,12 @@ def title_case(label: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . ! or ? followed by white space."""
-    return F.split(text, r"(?U)(?<=[.!?])\s+")
+    return F.split(text, f"(?<=[.!?]){SPACE}+")
+
+
+def lowered(df, text: str = "text", name: str = "_low"):
+    """Add the lowercased text as a column of its own, so many tests share one conversion."""
+    return df.withColumn(name, F.lower(text))
 
 
 def stem(word: Column) -> Column:
@@ -92,9 +152,17 @@ def count_hits(text: Column, words) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
-def count_matches(text: Column, patterns) -> Column:
-    """How many of the patterns match somewhere."""
-    return reduce(lambda a, b: a + b, [F.rlike(text, F.lit(p)).cast("int") for p in patterns])
+def two_match(text: Column, patterns, low: Column) -> Column:
+    """At least two of two or three patterns match; the rarer later ones are tried first."""
+    hits = [has_match(text, p, low=low) for p in reversed(patterns)]
+    if len(hits) == 2:
+        return hits[0] & hits[1]
+    a, b, c = hits
+    return F.when(a, b | c).otherwise(b & c)
+
+
+def any_match(text: Column, patterns, low: Column) -> Column:
+    return reduce(lambda a, b: a | b, [has_match(text, p, low=low) for p in patterns])
 
 
 def first_text(*values: Column) -> Column:
@@ -116,7 +184,7 @@ def safe_concept_label(label: Column) -> Column:
         F.length(text).between(3, 120)
         & ~F.rlike(F.lower(text), F.lit("pii_session_id|piisessionid"))
         & ~F.contains(text, F.lit("@"))
-        & ~F.rlike(text, F.lit(r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b"))
+        & ~has_match(text, r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b")
         & F.rlike(text, F.lit("[a-zA-Z]")),
         F.lit(False),
     )

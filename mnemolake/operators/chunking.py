@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
+from mnemolake.functions.text import let
 
 
 def chunk_spans(text: Column, size: int, overlap: int) -> Column:
@@ -13,41 +14,41 @@ def chunk_spans(text: Column, size: int, overlap: int) -> Column:
     Each step looks back from ``start + size`` over the last fifth of the window for . ! ? or a line
     break and ends the chunk right after the last one found; the next chunk starts ``overlap`` earlier.
     """
-    length = F.length(text)
     floor = size * 4 // 5  # no boundary is accepted at or before start + floor
     shortest = floor + 2 - overlap
     if shortest <= 0:
         raise ValueError("overlap must be smaller than the shortest chunk")
-    steps = F.sequence(F.lit(0), F.floor(length / shortest).cast("int") + 1)
-    start_type = "struct<pos:int,done:boolean,spans:array<struct<start:int,end:int>>>"
+    state = "struct<pos:int,done:boolean,spans:array<struct<start:int,end:int>>>"
     zero = F.struct(
         F.lit(0).alias("pos"),
         F.lit(False).alias("done"),
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-    ).cast(start_type)
-
-    def step(acc: Column, _: Column) -> Column:
-        pos = acc["pos"]
-        hard = pos + size
-        tail = F.substring(text, pos + floor + 2, F.lit(size - floor))
-        found = F.length(F.regexp_extract(tail, r"(?s)^.*[.!?\n]", 0))
-        end = (
-            F.when(hard >= length, length)
-            .when(found > 0, pos + floor + 1 + found)
-            .otherwise(hard)
-        )
-        nxt = end - overlap
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(
-                nxt.alias("pos"),
-                (nxt >= length - overlap).alias("done"),
-                F.array_append(
-                    acc["spans"], F.struct(pos.alias("start"), end.cast("int").alias("end"))
-                ).alias("spans"),
-            ).cast(start_type)
-        )
-
-    return F.aggregate(steps, zero, step)["spans"]
+    ).cast(state)
+
+    def spans(length: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            pos = acc["pos"]
+            hard = pos + size
+            tail = F.substring(text, pos + floor + 2, F.lit(size - floor))
+            mark = F.when(hard < length, F.length(F.regexp_extract(tail, r"(?s)^.*[.!?\n]", 0)))
+            end = let(
+                mark,
+                lambda m: F.when(m.isNull(), length).when(m > 0, pos + floor + 1 + m).otherwise(hard).cast("int"),
+            )
+            moved = let(
+                end,
+                lambda e: F.struct(
+                    (e - overlap).alias("pos"),
+                    (e >= length).alias("done"),
+                    F.array_append(acc["spans"], F.struct(pos.alias("start"), e.alias("end"))).alias("spans"),
+                ).cast(state),
+            )
+            return F.when(acc["done"], acc).otherwise(moved)
+
+        steps = F.sequence(F.lit(0), F.floor(length / shortest).cast("int") + 1)
+        return F.aggregate(steps, zero, step)["spans"]
+
+    return let(F.length(text), spans)
 
 
 def chunk_documents(

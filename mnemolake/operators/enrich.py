@@ -5,12 +5,15 @@ Everything that concerns one document alone is an expression inside its row, so
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemolake.functions import fixed
-from mnemolake.functions.text import count_hits, count_matches, sentences, stem, strip
+from mnemolake.functions.text import (
+    SPACE, any_match, count_hits, find_all, has_match, lowered, sentences, stem, strip, tokens, two_match,
+)
 from mnemolake.functions.vectors import cosine
 
 STRINGS = "array<string>"
@@ -20,15 +23,6 @@ def no_strings() -> Column:
     return F.array().cast(STRINGS)
 
 
-def find_all(text: Column, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
-    flags = "(?iU)" if ignore_case else "(?U)"
-    return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group))
-
-
-def has_match(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return F.rlike(text, F.lit(("(?iU)" if ignore_case else "(?U)") + pattern))
-
-
 # --- topics -----------------------------------------------------------------------------------------
 def stemmed_taxonomy(taxonomy: DataFrame) -> DataFrame:
     """Stem -> topic for the keywords of a taxonomy; the alphabetically first keyword decides."""
@@ -176,7 +170,7 @@ def sentence_scores(kept: Column) -> Column:
         size = F.length(s)
         points = points + F.when((size > 50) & (size < 200), 2).when(size > 200, 1).otherwise(0)
         points = points + 2 * count_hits(F.lower(s), fixed.CUE_WORDS)
-        rest = F.split(s, r"(?U)\s+")
+        rest = F.split(s, SPACE + "+")
         capital = F.size(F.filter(F.slice(rest, F.lit(2), F.size(rest)), lambda w: F.rlike(w, F.lit(r"^\p{Lu}"))))
         points = points + F.least(capital, F.lit(3))
         points = points + has_match(s, fixed.CAMEL_CASE).cast("int")
@@ -270,9 +264,9 @@ def key_passages(docs: DataFrame, n: int = 3) -> DataFrame:
 def key_entities(docs: DataFrame, n: int = 10) -> DataFrame:
     """Capitalized words inside sentences, identifiers and quoted terms, most frequent first (then by name)."""
     def names(sentence: Column) -> Column:
-        words = F.filter(F.split(strip(sentence), r"(?U)\s+"), lambda w: w != "")
+        words = F.filter(F.split(strip(sentence), SPACE + "+"), lambda w: w != "")
         inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: F.length(w) > 2)
-        bare = F.transform(inner, lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
+        bare = F.transform(inner, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
         return F.filter(bare, lambda w: F.rlike(w, F.lit(r"^\p{Lu}.*\p{Ll}")))
 
     text = F.col("text")
@@ -288,51 +282,68 @@ def key_entities(docs: DataFrame, n: int = 10) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("len") < 20, no_strings()).otherwise(top).alias("entities"))
 
 
-def _families(text: Column, patterns, ignore_case: bool = True) -> Column:
-    return F.concat(*[find_all(text, p, 0, ignore_case) for p in patterns])
+def _families(text: Column, patterns, low: Column | None = None) -> Column:
+    return F.concat(*[find_all(text, p, 0, True, low) for p in patterns])
+
 
+def tokens_of(name: str) -> list[str]:
+    return re.findall("[a-z0-9]+", name.lower())
 
-def structured_fields(text: Column, n: int = 10) -> dict[str, Column]:
-    """Columns of the structured metadata: first seen first, each at most ``n`` values."""
+
+def named(text: Column, name: str, low: Column) -> Column:
+    """The name occurs as a word, in any case."""
+    return F.contains(low, F.lit(name.lower())) & has_match(text, r"\b\Q" + name + r"\E\b", True)
+
+
+def structured_fields(text: Column, low: Column, n: int = 10) -> dict[str, Column]:
+    """Columns of the structured metadata: first seen first, each at most ``n`` values.
+
+    ``low`` is the lowercased text as a column (see ``lowered``).
+    """
     first = lambda values: F.slice(F.array_distinct(values), 1, n)
-    technologies = F.flatten(
+    every = F.flatten(
         F.array(*[
-            F.when(has_match(text, r"\b\Q" + name + r"\E\b", True), F.array(F.lit(name))).otherwise(no_strings())
+            F.when(named(text, name, low), F.array(F.lit(name))).otherwise(no_strings())
             for name in fixed.TECHNOLOGY_NAMES
         ])
     )
+    # most texts hold none of the names' first words: one look at the word set spares them all tests
+    heads = sorted({tokens_of(name)[0] for name in fixed.TECHNOLOGY_NAMES})
+    some = F.arrays_overlap(tokens(low), F.array(*[F.lit(h) for h in heads]))
+    technologies = F.when(some, every).otherwise(no_strings())
     identifiers = F.filter(
         F.concat(find_all(text, fixed.CAMEL_CASE_STRICT), find_all(text, fixed.SNAKE_CASE_STRICT)), lambda x: F.length(x) > 3
     )
     common = F.array(*[F.lit(w) for w in fixed.NO_PERSON_WORDS])
     persons = F.concat(
-        find_all(text, fixed.PERSON_TITLE_PATTERN, 1),
+        find_all(text, fixed.PERSON_TITLE_PATTERN, 1, low=low),
         F.filter(
-            F.concat(*[find_all(text, p, 1) for p in fixed.PERSON_CONTEXT_PATTERNS]),
+            F.concat(*[find_all(text, p, 1, low=low) for p in fixed.PERSON_CONTEXT_PATTERNS]),
             lambda x: (F.length(x) > 2) & ~F.array_contains(common, x),
         ),
     )
     organizations = F.concat(
-        find_all(text, fixed.ORGANIZATION_PATTERN, 1),
-        *[find_all(text, p, 1, True) for p in fixed.ORGANIZATION_CONTEXT_PATTERNS],
+        find_all(text, fixed.ORGANIZATION_PATTERN, 1, low=low),
+        *[find_all(text, p, 1, True, low) for p in fixed.ORGANIZATION_CONTEXT_PATTERNS],
     )
-    places = F.filter(find_all(text, fixed.LOCATION_PATTERN, 1), lambda x: F.length(x) > 2)
+    places = F.filter(find_all(text, fixed.LOCATION_PATTERN, 1, low=low), lambda x: F.length(x) > 2)
     return {
         "persons": first(persons),
         "organizations": first(organizations),
         "locations": first(F.array_except(F.array_except(places, persons), organizations)),
-        "dates": first(_families(text, fixed.DATE_PATTERNS)),
-        "times": first(_families(text, fixed.TIME_PATTERNS)),
-        "temporal_refs": first(_families(text, fixed.TEMPORAL_PATTERNS)),
-        "quantities": first(_families(text, fixed.QUANTITY_PATTERNS)),
-        "activities": first(F.transform(_families(text, fixed.ACTIVITY_PATTERNS), lambda x: F.lower(x))),
+        "dates": first(_families(text, fixed.DATE_PATTERNS, low)),
+        "times": first(_families(text, fixed.TIME_PATTERNS, low)),
+        "temporal_refs": first(_families(text, fixed.TEMPORAL_PATTERNS, low)),
+        "quantities": first(_families(text, fixed.QUANTITY_PATTERNS, low)),
+        "activities": first(F.transform(_families(text, fixed.ACTIVITY_PATTERNS, low), lambda x: F.lower(x))),
         "technologies": first(F.concat(technologies, identifiers)),
     }
 
 
 def structured_metadata(docs: DataFrame, n: int = 10) -> DataFrame:
-    fields = structured_fields(F.col("text"), n)
-    return docs.select("doc_id", *[c.alias(name) for name, c in fields.items()], document_type(F.col("text")).alias("document_type"))
+    fields = structured_fields(F.col("text"), F.col("_low"), n)
+    kind = document_type(F.col("text"), F.col("_low")).alias("document_type")
+    return lowered(docs).select("doc_id", *[c.alias(name) for name, c in fields.items()], kind)
 
 
 def merge_ner(structured: DataFrame, ner: DataFrame, n: int = 10) -> DataFrame:
@@ -348,22 +359,22 @@ def merge_ner(structured: DataFrame, ner: DataFrame, n: int = 10) -> DataFrame:
 
 
 # --- type and filters --------------------------------------------------------------------------------------
-def document_type(text: Column) -> Column:
-    low = F.lower(text)
+def document_type(text: Column, low: Column) -> Column:
+    """First family with two pattern hits."""
     expr = None
     for family, on_lower, patterns in fixed.DOCUMENT_TYPES:
-        enough = count_matches(low if on_lower else text, ["(?U)" + p for p in patterns]) >= 2
+        enough = two_match(low if on_lower else text, patterns, low)
         expr = F.when(enough, family) if expr is None else expr.when(enough, family)
     return expr.otherwise("general")
 
 
-def content_type(text: Column, source: Column, filename: Column) -> Column:
+def content_type(text: Column, low: Column, source: Column, filename: Column) -> Column:
     """Default by source; every later family with a hit overrides."""
-    low, name = F.lower(text), F.lower(F.coalesce(filename, F.lit("")))
+    name = F.lower(F.coalesce(filename, F.lit("")))
     doc_like = F.contains(name, F.lit("readme")) | F.contains(name, F.lit("doc"))
     chain = None
     for kind, on_lower, needs_name, patterns in reversed(fixed.CONTENT_TYPE_PATTERNS):
-        hit = count_matches(low if on_lower else text, ["(?U)" + p for p in patterns]) >= 1
+        hit = any_match(low if on_lower else text, patterns, low)
         if needs_name:
             hit = hit & doc_like
         chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
@@ -372,9 +383,8 @@ def content_type(text: Column, source: Column, filename: Column) -> Column:
     return chain.otherwise("note")
 
 
-def domain(text: Column) -> Column:
+def domain(low: Column) -> Column:
     """Family with most keyword hits, at least two; the first family wins ties."""
-    low = F.lower(text)
     scores = F.array(*[
         F.struct(count_hits(low, words).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name"))
         for i, (name, words) in enumerate(fixed.DOMAIN_WORDS)
@@ -384,10 +394,10 @@ def domain(text: Column) -> Column:
 
 
 def document_filters(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return lowered(docs).select(
         "doc_id",
-        content_type(F.col("text"), F.col("source"), F.col("filename")).alias("content_type"),
-        domain(F.col("text")).alias("domain"),
+        content_type(F.col("text"), F.col("_low"), F.col("source"), F.col("filename")).alias("content_type"),
+        domain(F.col("_low")).alias("domain"),
     )
 
 
@@ -397,7 +407,7 @@ def analyze_query(queries: DataFrame) -> DataFrame:
     text, low = F.col("text"), F.lower("text")
     intent = reduce(lambda a, b: a | b, [has_match(low, p) for p in fixed.FILTER_PHRASES])
     tech = F.flatten(F.array(*[
-        F.when(has_match(text, r"\b\Q" + name + r"\E\b", True), F.array(F.lit(name))).otherwise(no_strings())
+        F.when(named(text, name, low), F.array(F.lit(name))).otherwise(no_strings())
         for name in fixed.QUERY_TECHNOLOGIES
     ]))
     common = F.array(*[F.lit(w) for w in fixed.QUERY_NO_PERSON_WORDS])
@@ -420,7 +430,7 @@ def analyze_query(queries: DataFrame) -> DataFrame:
         fixed.DOC_TYPE_HINTS[1:],
         F.when(has_match(low, fixed.DOC_TYPE_HINTS[0][1]), fixed.DOC_TYPE_HINTS[0][0]),
     )
-    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""))
     some = lambda c: F.size(c) > 0
     rows = rows.select(
         "*", places.alias("locations"), _families(text, fixed.QUERY_DATE_PATTERNS).alias("dates"),
@@ -465,7 +475,7 @@ def passage_window(pairs: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.regexp_replace(text, SPACE + "+$", "")
 
 
 def passage_embedding(pairs: DataFrame, sentence_vectors: DataFrame, limit: int = 500, keep: int = 3) -> DataFrame:
@@ -493,15 +503,15 @@ def enrich_documents(docs: DataFrame, taxonomy: DataFrame, passages: int = 5) ->
     A document without usable text keeps its row and names the failed stage in ``errors``.
     """
     usable = docs.filter(F.length(strip(F.col("text"))) > 0)
-    fields = structured_fields(F.col("text"))
-    own = usable.select(
+    fields = structured_fields(F.col("text"), F.col("_low"))
+    own = lowered(usable).select(
         "doc_id",
-        F.struct(*[c.alias(k) for k, c in fields.items()], document_type(F.col("text")).alias("document_type")).alias(
+        F.struct(*[c.alias(k) for k, c in fields.items()], document_type(F.col("text"), F.col("_low")).alias("document_type")).alias(
             "structured"
         ),
         F.struct(
-            content_type(F.col("text"), F.col("source"), F.col("filename")).alias("content_type"),
-            domain(F.col("text")).alias("domain"),
+            content_type(F.col("text"), F.col("_low"), F.col("source"), F.col("filename")).alias("content_type"),
+            domain(F.col("_low")).alias("domain"),
         ).alias("filters"),
     )
     topics = keyword_topics(usable, taxonomy).select("doc_id", "topics", "primary_topic", "confidence")

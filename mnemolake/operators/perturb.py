@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.hashing import gumbel, laplace, uniform
-from mnemolake.functions.text import strip
+from mnemolake.functions.text import SPACE, strip
 from mnemolake.operators.common import bucketed_row_number, first_per
 
 
@@ -116,7 +116,7 @@ def perturb_names(names: DataFrame, first_names: list[str], last_names: list[str
     key = F.md5(F.concat_ws("\u001f", F.lit(seed), "session_id", "full_name"))
     rows = rows.withColumn("_k", key)
     rows = bucketed_row_number(rows, ["session_id"], F.left("_k", F.lit(2)), [F.col("_k")], "_n")
-    parts = F.split(strip(F.col("full_name")), r"(?U)\s+")
+    parts = F.split(strip(F.col("full_name")), SPACE + "+")
     rows = rows.withColumn("_parts", parts)
     shuffled = lambda values: F.transform(
         F.array_sort(F.transform(F.array(*[F.lit(v) for v in values]), lambda v: F.struct(
@@ -170,7 +170,7 @@ def perturb_address(value: Column, eps: Column, seed: str, places: list[str]) ->
     choices = F.array(*[F.lit(p) for p in places])
 
     def street_word(w: Column, i: Column) -> Column:
-        kept = F.rtrim(F.lit("."), w).isin(*fixed.STREET_TYPES) | F.upper(w).isin(*fixed.STREET_DIRECTIONS)
+        kept = F.rtrim(w, F.lit(".")).isin(*fixed.STREET_TYPES) | F.upper(w).isin(*fixed.STREET_DIRECTIONS)
         return F.when(kept, w).otherwise(pick_other(choices, w, seed, i))
 
     def part(p: Column, i: Column) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
-from mnemolake.functions.text import collapse_ws
+from mnemolake.functions.text import WORD, collapse_ws, unicode_regex
 
 SPAN = "struct<pii_type:string,start:int,end:int,score:double,value:string>"
 TOKEN_PATTERN = "<PII:[A-Z_]+:[0-9a-f]+>"
@@ -57,7 +57,9 @@ def span_finder(rules: list[tuple[str, str, float]]):
 def detect_pii(docs: DataFrame, types=None, min_score: float = 0.0, extra=()) -> DataFrame:
     """Add ``spans``. Texts without any match never leave the JVM: a native test comes first."""
     rules = patterns(types, min_score, extra)
-    maybe = F.rlike("text", F.lit("|".join(f"(?:{p})" for _, p, _ in rules)))
+    # every built-in pattern needs a digit, an @ or a ://; the caller's own patterns are tested themselves
+    tests = ["[0-9@]|://"] + [f"(?:{p})" for _, p, _ in extra]
+    maybe = F.rlike("text", F.lit("|".join(tests)))
     none = F.array().cast(f"array<{SPAN}>")
     find = span_finder(rules)
     marked = docs.withColumn("_maybe", F.coalesce(maybe, F.lit(False)))
@@ -210,18 +212,18 @@ def deanonymize_perturbed(texts: DataFrame, mappings: DataFrame) -> DataFrame:
     runs), so a text only gathers mappings whose first word it contains.
     """
     digits = lambda c: F.regexp_replace(c, r"\D", "")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD + "+"), F.lit(0))
     runs = F.transform(F.regexp_extract_all("text", F.lit(r"\d[\d\s\-.()]{5,}\d"), F.lit(0)), digits)
     keys = texts.select("row_id", "session_id", F.explode(F.array_distinct(F.concat(words, runs))).alias("key"))
     phone = (F.col("pii_type") == "PHONE_NUMBER") & (F.length(digits(F.col("perturbed"))) >= 7)
     flexible = F.concat(
         F.lit(r"[+(]?"), F.array_join(F.split(digits(F.col("perturbed")), ""), r"[\s\-.()]*"), F.lit(r"\)?")
     )
-    exact = F.concat(F.lit(r"(?iU)\b\Q"), "perturbed", F.lit(r"\E\b"))
+    exact = F.concat(F.lit(r"(?i)(?U:\b)\Q"), "perturbed", F.lit(r"\E(?U:\b)"))
     m = mappings.select(
         "session_id",
         F.when(phone, digits(F.col("perturbed")))
-        .otherwise(F.regexp_extract(F.lower("perturbed"), r"(?U)\w+", 0))
+        .otherwise(F.regexp_extract(F.lower("perturbed"), WORD + "+", 0))
         .alias("key"),
         F.struct(
             (-F.length("perturbed")).alias("order"), F.col("perturbed").alias("p"),
@@ -238,7 +240,7 @@ def deanonymize_perturbed(texts: DataFrame, mappings: DataFrame) -> DataFrame:
 def redact_fixed(text: Column, extra=()) -> Column:
     """Ordered redactions to fixed labels; ``extra`` rows (pattern, label) run first."""
     for pattern, label in (*extra, *fixed.REDACTIONS):
-        text = F.regexp_replace(text, pattern, label)
+        text = F.regexp_replace(text, unicode_regex(pattern), label)
     return text
 
 

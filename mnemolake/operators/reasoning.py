@@ -206,7 +206,8 @@ def cited_entities(b: DataFrame) -> DataFrame:
     """Safe entities of each citation in order: (query_id, answer, citation, rank, pos, entity_type, label, entity_id)."""
     rows = _exploded(b)
     fields = b.schema["cites"].dataType.elementType.fieldNames()
-    lists = [
+    none = F.array().cast("array<struct<entity_type:string,raw:string>>")
+    lists = [none] + [
         F.transform(F.coalesce(F.col("c")[name], F.array()), lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("raw")))
         for name, kind in SAFE_FIELDS if name in fields
     ]
@@ -356,8 +357,8 @@ def maintenance_graph(b: DataFrame, actions: DataFrame, replacements: DataFrame)
 
 def think(questions: DataFrame, results: DataFrame, as_of: str, k: int = 8) -> dict[str, DataFrame]:
     """All evidence tables of a set of questions, keyed by query_id."""
-    cites = citations(results, k)
-    b = bundle(questions, cites)
+    cites = citations(results, k).persist()  # every table below starts from the citations
+    b = bundle(questions, cites).persist()
     actions = citation_maintenance(b, as_of)
     nodes, edges = citation_graph(b)
     e_nodes, e_edges = entity_graph(b)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
-from mnemolake.functions.text import collapse_ws, glob_to_regex, query_terms, tokens
+from mnemolake.functions.text import SPACE, collapse_ws, glob_to_regex, query_terms, tokens
 from mnemolake.functions.vectors import best_matches
 from mnemolake.operators.common import bounded_rows, first_per, top_k
 
@@ -302,7 +302,7 @@ def entity_boost_search(
 
     ``docs`` has (doc_id, entities, key_passages). Words are split on white space and lowercased.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != ""))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), SPACE + "+"), lambda w: w != ""))
     q = queries.select("query_id", words(F.col("text")).alias("q_words"))
     rows = candidates.drop("rank").join(q, "query_id").join(docs.select("doc_id", "entities", "key_passages"), "doc_id")
     matched = F.filter(

@@ -273,7 +273,7 @@ def _(t):
 
 @add("document_type", f"WITH {UNDER} SELECT doc_id, {DOC_TYPE} AS document_type FROM un")
 def _(t):
-    return t.documents.select("doc_id", e.document_type(F.col("text")).alias("document_type"))
+    return e.lowered(t.documents).select("doc_id", e.document_type(F.col("text"), F.col("_low")).alias("document_type"))
 
 
 CONTENT_TYPE = "CASE " + " ".join(
