@@ -60,7 +60,11 @@ def find_all(text: Column, pattern: str, group: int = 0, ignore_case: bool = Fal
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, for values used several times inside a lambda."""
+    """``body(value)`` with the value computed once.
+
+    For values used several times, or inside another lambda: the optimizer merges projections, so a column
+    defined one step earlier may end up computed for every element of an array.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.text import (
-    SPACE, any_match, count_hits, find_all, has_match, lowered, sentences, stem, strip, tokens, two_match,
+    SPACE, any_match, count_hits, find_all, has_match, let, lowered, sentences, stem, strip, tokens, two_match,
 )
 from mnemolake.functions.vectors import cosine
 
@@ -169,10 +169,9 @@ def sentence_scores(kept: Column) -> Column:
         points = F.when(i < 3, 3 - i).otherwise(0) + F.when((total > 5) & (i >= total - 2), 2).otherwise(0)
         size = F.length(s)
         points = points + F.when((size > 50) & (size < 200), 2).when(size > 200, 1).otherwise(0)
-        points = points + 2 * count_hits(F.lower(s), fixed.CUE_WORDS)
-        rest = F.split(s, SPACE + "+")
-        capital = F.size(F.filter(F.slice(rest, F.lit(2), F.size(rest)), lambda w: F.rlike(w, F.lit(r"^\p{Lu}"))))
-        points = points + F.least(capital, F.lit(3))
+        points = points + 2 * let(F.lower(s), lambda low: count_hits(low, fixed.CUE_WORDS))
+        capital = F.filter(F.split(s, SPACE + "+"), lambda w, k: (k > 0) & F.rlike(w, F.lit(r"^\p{Lu}")))
+        points = points + F.least(F.size(capital), F.lit(3))
         points = points + has_match(s, fixed.CAMEL_CASE).cast("int")
         points = points + has_match(s, r"\b[a-z]+_[a-z]+\b").cast("int")
         return F.struct((-points).alias("neg"), i.alias("i"), s.alias("s"))
@@ -206,25 +205,25 @@ def key_sentences(docs: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame
 
 def window_spans(text: Column, size: int = 1000, overlap: int = 100) -> Column:
     """Array of (start, end): windows cut at the last sentence mark past their middle."""
-    length = F.length(text)
     kind = "struct<pos:int,spans:array<struct<start:int,end:int>>>"
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(kind)
 
-    def step(acc: Column, _: Column) -> Column:
-        pos = acc["pos"]
-        piece = F.substring(text, pos + 1, F.lit(size))
-        mark = F.length(F.regexp_extract(piece, r"(?s)^.*[.?!]", 0)) - 1
-        end = F.when((pos + size < length) & (mark > size // 2), pos + mark + 1).otherwise(F.least(pos + size, length))
-        nxt = F.when(end < length, end - overlap).otherwise(length)
-        return F.when(pos >= length, acc).otherwise(
-            F.struct(
-                nxt.alias("pos"),
-                F.array_append(acc["spans"], F.struct(pos.alias("start"), end.cast("int").alias("end"))).alias("spans"),
-            ).cast(kind)
-        )
+    def spans(length: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            pos = acc["pos"]
+            piece = F.substring(text, pos + 1, F.lit(size))
+            mark = F.when(pos + size < length, F.length(F.regexp_extract(piece, r"(?s)^.*[.?!]", 0)) - 1)
+            end = let(mark, lambda m: F.when(m > size // 2, pos + m + 1).otherwise(F.least(pos + size, length)).cast("int"))
+            moved = let(end, lambda e: F.struct(
+                F.when(e < length, e - overlap).otherwise(length).alias("pos"),
+                F.array_append(acc["spans"], F.struct(pos.alias("start"), e.alias("end"))).alias("spans"),
+            ).cast(kind))
+            return F.when(pos >= length, acc).otherwise(moved)
+
+        steps = F.sequence(F.lit(0), F.floor(length / (size // 2 - overlap)).cast("int") + 1)
+        return F.aggregate(steps, zero, step)["spans"]
 
-    steps = F.sequence(F.lit(0), F.floor(length / (size // 2 - overlap)).cast("int") + 1)
-    return F.aggregate(steps, zero, step)["spans"]
+    return let(F.length(text), spans)
 
 
 def key_sentences_chunked(docs: DataFrame, n: int = 3, size: int = 1000) -> DataFrame:
@@ -238,11 +237,10 @@ def key_sentences_chunked(docs: DataFrame, n: int = 3, size: int = 1000) -> Data
     # outer explode: the inner one adds a filter that would compute the sentences once more
     found = key_sentences(windows, n, "unit").select("unit.*", F.posexplode_outer("key_sentences").alias("r", "s"))
     found = found.filter(F.col("s").isNotNull())
-    pooled = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "r", "at", "s"))).alias("c"))
-    folded = F.transform("c", lambda x: F.lower(strip(x["s"])))
-    rows = pooled.select("doc_id", "c", folded.alias("folded"))
-    unique = F.filter("c", lambda x, i: F.array_position("folded", F.lower(strip(x["s"]))) == i + 1)
-    rows = rows.select("doc_id", unique.alias("c"))
+    # one row per distinct sentence of a document (any case), then the few rows of a document as one array
+    place = F.struct("w", "r", "at", "s")
+    unique = found.groupBy("doc_id", F.lower(strip(F.col("s"))).alias("low")).agg(F.min(place).alias("p"))
+    rows = unique.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("c"))
     texts = F.transform("c", lambda x: x["s"])
     parts = min(n, 3)
     section = lambda p: F.transform(
@@ -265,7 +263,7 @@ def key_entities(docs: DataFrame, n: int = 10) -> DataFrame:
     """Capitalized words inside sentences, identifiers and quoted terms, most frequent first (then by name)."""
     def names(sentence: Column) -> Column:
         words = F.filter(F.split(strip(sentence), SPACE + "+"), lambda w: w != "")
-        inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: F.length(w) > 2)
+        inner = F.filter(words, lambda w, k: (k > 0) & (F.length(w) > 2))
         bare = F.transform(inner, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
         return F.filter(bare, lambda w: F.rlike(w, F.lit(r"^\p{Lu}.*\p{Ll}")))
 
@@ -454,8 +452,10 @@ def passage_window(pairs: DataFrame, limit: int = 500) -> DataFrame:
     """For (query_id, doc_id, query, text): the sentence with most query words and its neighbours."""
     words = F.array_distinct(F.filter(find_all(F.lower("query"), r"\w+"), lambda w: F.length(w) > 2))
     rows = pairs.select("query_id", "doc_id", "text", words.alias("words"), sentences(F.col("text")).alias("sents"))
-    score = lambda s: F.size(F.filter("words", lambda w: F.contains(F.lower(s), w)))
-    scores = F.transform("sents", lambda s, i: F.struct(score(s).alias("n"), (-i).alias("neg"))) 
+    score = lambda s, q: let(F.lower(s), lambda low: F.size(F.filter(q, lambda w: F.contains(low, w))))
+    scores = let(
+        F.col("words"), lambda q: F.transform("sents", lambda s, i: F.struct(score(s, q).alias("n"), (-i).alias("neg")))
+    )
     rows = rows.withColumn("best", F.array_max(scores))
     at, hits = -F.col("best.neg"), F.col("best.n")
     start = F.greatest(at - 1, F.lit(0))

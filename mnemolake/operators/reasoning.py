@@ -12,7 +12,7 @@ from mnemolake.functions import fixed
 from mnemolake.functions.dates import age_days, parse_date
 from mnemolake.functions.hashing import short_hash, stable_id
 from mnemolake.functions.text import (
-    clean_excerpt, collapse_ws, first_text, infer_entity_type, long_terms, query_terms, safe_concept_label,
+    clean_excerpt, collapse_ws, first_text, infer_entity_type, let, long_terms, query_terms, safe_concept_label,
     safe_entity_label, sentences, slug, strip, tokens,
 )
 from mnemolake.operators.common import top_k
@@ -61,9 +61,9 @@ def bundle(questions: DataFrame, cites: DataFrame) -> DataFrame:
     kind = packed.schema["cites"].dataType
     rows = rows.withColumn("cites", F.coalesce("cites", F.array().cast(kind)))
     corpus = F.array_join(F.transform("cites", lambda c: F.lower(F.concat(c["title"], F.lit(" "), c["excerpt"]))), " ")
-    rows = rows.withColumn("_corpus", corpus)
-    found = F.filter("terms", lambda x: F.contains("_corpus", x))
-    return rows.withColumn("found_terms", found).withColumn("missing_terms", F.array_except("terms", found)).drop("_corpus")
+    found = let(corpus, lambda c: F.filter("terms", lambda x: F.contains(c, x)))
+    rows = rows.withColumn("found_terms", found)
+    return rows.withColumn("missing_terms", F.array_except("terms", "found_terms"))
 
 
 def _count(condition) -> Column:
@@ -173,10 +173,9 @@ def citation_graph(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _exploded(b)
     text = F.lower(F.concat(F.col("c.title"), F.lit(" "), F.col("c.excerpt")))
     topics = F.transform(F.filter("c.topics", safe_concept_label), lambda x: F.lower(strip(x)))
-    mentioned = F.filter("found_terms", lambda x: F.contains(F.col("_text"), x) & safe_concept_label(x))
-    rows = rows.withColumn("_text", text)
+    mentioned = let(text, lambda y: F.filter("found_terms", lambda x: F.contains(y, x) & safe_concept_label(x)))
     concepts = F.array_distinct(F.transform(F.concat(topics, mentioned), lambda x: collapse_ws(F.lower(x))))
-    rows = rows.withColumn("concepts", F.filter(concepts, lambda x: x != "")).drop("_text")
+    rows = rows.withColumn("concepts", F.filter(concepts, lambda x: x != ""))
     each = rows.select("query_id", "answer", "citation", "found_terms", F.explode("concepts").alias("concept"))
     each = each.withColumn("concept_id", F.concat(F.lit("concept:"), slug(F.col("concept"))))
     nodes = (

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
-from mnemolake.functions.text import SPACE, collapse_ws, glob_to_regex, query_terms, tokens
+from mnemolake.functions.text import SPACE, collapse_ws, glob_to_regex, let, query_terms, tokens
 from mnemolake.functions.vectors import best_matches
 from mnemolake.operators.common import bounded_rows, first_per, top_k
 
@@ -433,8 +433,8 @@ def best_excerpt(pairs: DataFrame, window: int = 650, lead: int = 160) -> DataFr
 
     def candidate(p: Column, i: Column) -> Column:
         start = F.greatest(p - 1 - lead, F.lit(0))
-        piece = F.substring(F.col("_low"), start + 1, F.lit(window))
-        return F.struct(score(piece).alias("score"), (-i).alias("order"), start.alias("start"))
+        points = let(F.substring(F.col("_low"), start + 1, F.lit(window)), score)
+        return F.struct(points.alias("score"), (-i).alias("order"), start.alias("start"))
 
     best = F.array_max(F.transform(anchors, candidate))
     start = F.coalesce(best["start"], F.lit(0))
