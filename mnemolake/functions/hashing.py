@@ -13,11 +13,14 @@ def content_hash(text: Column, source: Column) -> Column:
     return F.sha2(F.when(src == "", text).otherwise(F.concat(src, F.lit(":"), text)), 256)
 
 
+def body_text(text: Column, title: Column) -> Column:
+    """The text, or the title when the text is empty."""
+    return F.when(F.coalesce(text, F.lit("")) == "", F.coalesce(title, F.lit(""))).otherwise(text)
+
+
 def fingerprint(text: Column, title: Column) -> Column:
-    """sha256 over the lowercased one-line text, or title when the text is empty; null if both are."""
-    body = F.when(F.coalesce(text, F.lit("")) == "", F.coalesce(title, F.lit(""))).otherwise(text)
-    flat = collapse_ws(F.lower(body))
-    return F.when(flat != "", F.sha2(flat, 256))
+    """sha256 over the lowercased one-line text, or title when the text is empty. Never null."""
+    return F.coalesce(F.sha2(collapse_ws(F.lower(body_text(text, title))), 256), F.lit(""))
 
 
 def short_hash(value: Column, length: int) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mnemolake.functions.hashing import content_hash, fingerprint
+from mnemolake.functions.hashing import body_text, content_hash, fingerprint
+from mnemolake.functions.text import SPACE
 from mnemolake.operators.common import first_per, with_group
 
 
@@ -45,8 +46,9 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
     Members are rows, not a collected list: a group may hold a large share of the corpus.
     """
-    rows = docs.select("doc_id", "title", fingerprint(F.col("text"), F.col("title")).alias("fingerprint"))
-    rows = rows.filter(F.col("fingerprint").isNotNull())
+    # blank documents go first, and the fingerprint is never null: no filter computes it a second time
+    some = F.rlike(body_text(F.col("text"), F.col("title")), F.lit(f"[^{SPACE[1:-1]}]"))
+    rows = docs.filter(some).select("doc_id", "title", fingerprint(F.col("text"), F.col("title")).alias("fingerprint"))
     groups = (
         rows.groupBy("fingerprint")
         .agg(F.count("*").alias("group_size"), F.min("doc_id").alias("first_doc_id"))
