@@ -24,14 +24,26 @@ def build_session(app: str = "mnemolake", master: str | None = None, **extra: st
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return find_package(builder.getOrCreate())
+
+
+def find_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies, wherever the driver was started.
+
+    Only needed where the package is not installed; a cluster that has it elsewhere finds its own copy too.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (known, root) if p)
+    return spark
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the SQL options that change results (time zone, map merge) on a given session."""
     for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
         spark.conf.set(key, SETTINGS[key])
-    return spark
+    return find_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
