@@ -60,7 +60,7 @@ def _prior(kind: str) -> float:
 
 
 def read(page: str) -> list[tuple]:
-    """The page as ("text", raw, kinds of the open blocks) and ("tag", name, None) events.
+    """The page as ("text", raw, kinds of the open blocks) and ("tag", name, kinds of the blocks around it) events.
 
     A kind is the element name with its first class, id or role. A closing tag closes everything opened after its
     opening tag and is ignored without one; a new block ends an open paragraph. Comments, scripts and styles are gone.
@@ -74,44 +74,46 @@ def read(page: str) -> list[tuple]:
         name = m["name"]
         if name is None:
             continue
-        name = name.lower()
-        events.append(("tag", name, None))
-        if name not in BLOCKS or name in VOID:
-            continue
-        if m["close"]:
-            at = next((i for i in reversed(range(len(open_))) if open_[i][0] == name), None)
-            if at is not None:
-                del open_[at:]
-        else:
-            if open_ and open_[-1][0] == "p":
-                open_.pop()
-            if not m["rest"].endswith("/"):
-                label = _CLASS.search(m["rest"])
-                label = (label[1] or label[2] or label[3] or "").lower() if label else ""
-                open_.append((name, f"{name}.{label}" if label else name))
-        kinds = tuple(k for _, k in open_)
+        name, outer = name.lower(), kinds
+        if name in BLOCKS and name not in VOID:
+            kinds = _move(open_, name, m)
+        events.append(("tag", name, kinds if m["close"] else outer))
     return events
 
 
+def _move(open_: list[tuple[str, str]], name: str, m: re.Match) -> tuple:
+    """Open or close an element; the kinds of the blocks that are open then."""
+    if m["close"]:
+        at = next((i for i in reversed(range(len(open_))) if open_[i][0] == name), None)
+        if at is not None:
+            del open_[at:]
+    else:
+        if open_ and open_[-1][0] == "p":
+            open_.pop()
+        if not m["rest"].endswith("/"):
+            label = _CLASS.search(m["rest"])
+            label = (label[1] or label[2] or label[3] or "").lower() if label else ""
+            open_.append((name, f"{name}.{label}" if label else name))
+    return tuple(k for _, k in open_)
+
+
 def count(pages: list[str]) -> Weights:
     """Weights from pages that mark their article; the penalty is the one that finds most of their words alone."""
     inside_words, words, inside_tags, tags = Counter(), Counter(), Counter(), Counter()
     read_pages = []
     for page in pages:
-        events, truth, depth = read(page), [], 0
-        for i, (what, value, kinds) in enumerate(events):
-            article = what == "text" and any(k.partition(".")[0] in ("article", "main") for k in kinds)
+        events, truth = read(page), []
+        for what, value, kinds in events:
+            article = any(k.partition(".")[0] in ("article", "main") for k in kinds)
             truth.append(article)
-            if what == "text":
+            if what == "tag":
+                tags[value] += 1
+                inside_tags[value] += article
+            else:
                 n = len(value.split())
                 for k in set(kinds):
                     words[k] += n
                     inside_words[k] += n * article
-        marked = [i for i, t in enumerate(truth) if t]
-        for i, (what, value, _) in enumerate(events):
-            if what == "tag":
-                tags[value] += 1
-                inside_tags[value] += bool(marked) and marked[0] < i < marked[-1]
         read_pages.append((events, truth))
     weights = Weights(
         {k: (inside_words[k] + 3 * _prior(k)) / (n + 3) for k, n in words.items()},
