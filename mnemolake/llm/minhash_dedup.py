@@ -8,10 +8,11 @@ a million, so pairs with at least 32 agreements are kept and then confirmed on t
   many sets hold them, only the first s-31 are merged. Postings of one set only are never merged at all, so most
   documents drop out here, and long posting lists (common passages) are skipped by almost all sets.
 * Skip: a pair found in the prefix skips the rest of the lists; its agreements are counted on the two signatures.
-* Groups of copies: equal sets are one class from the start. Two rounds link every class or component with the
-  representative of its lists it collides with most, one candidate per component and round, before the remaining lists
-  are joined between different components only. So a group of thousands of near copies costs about one
-  comparison per copy, and no pair inside a found component is emitted.
+* Groups of copies: equal sets are one class from the start. Three rounds link every class or component with the hub
+  of its lists that it collides with most, one candidate per component and round, before the remaining lists are
+  joined between different components only, and only where the shingles that a set shares with any other suffice. So a
+  group of thousands of near copies costs about one comparison per copy, and no pair inside a found component is
+  emitted.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ registry = Registry()
 WORDS = 5
 COORDINATES = 64
 MATCHES = 32
+# where lists are joined in full: coordinates of which only the lowest bit is kept, and the bits that may differ. Sets of
+# similarity 0.75 differ in 128 bits on average and in more than 175 about once in 200,000.
+LONG = 1024
+LONG_DIFFER = 175
 PERCENT = 75
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 SKETCH = "n long, set_digest binary, signature array<int>"
 _MASK = (1 << 64) - 1
 
@@ -43,7 +48,7 @@ def _odd_numbers(n: int, seed: int) -> np.ndarray:
 
 
 _PLACES = _odd_numbers(WORDS, 1)
-_MULTIPLIERS, _OFFSETS = _odd_numbers(COORDINATES, 2), _odd_numbers(COORDINATES, 3)
+_MULTIPLIERS, _OFFSETS = _odd_numbers(LONG, 2), _odd_numbers(LONG, 3)
 _WORD_HASH = Memo(xxhash.xxh64_intdigest, 500_000)
 
 
@@ -72,11 +77,11 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Per coordinate the smallest of the multiplied hashes' upper halves."""
-    low = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    low = np.full(coordinates, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(shingles), 4096):  # bounded memory for very long texts
-        block = shingles[at : at + 4096, None] * _MULTIPLIERS + _OFFSETS
+        block = shingles[at : at + 4096, None] * _MULTIPLIERS[:coordinates] + _OFFSETS[:coordinates]
         np.minimum(low, (block >> np.uint64(32)).astype(np.uint32).min(axis=0), out=low)
     return low.view(np.int32)
 
@@ -94,8 +99,17 @@ def shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_hashes(t).view(np.int64) for t in texts], dtype=object)
 
 
+def long_signature(sets: pd.Series) -> pd.Series:
+    """The lowest bits of a longer signature, packed into 64-bit numbers."""
+    bits = (signature(np.asarray(s).view(np.uint64), LONG) & 1 for s in sets)
+    return pd.Series([np.packbits(b.astype(np.uint8)).view(np.int64) for b in bits], dtype=object)
+
+
 def posting_prefixes(classes: DataFrame) -> DataFrame:
-    """The (``key``, ``node``, ``n``) postings that must be merged; a key is a (coordinate, value) pair."""
+    """The (``key``, ``node``, ``n``, ``shared``) postings that must be merged; a key is a (coordinate, value) pair.
+
+    ``shared`` is the number of the node's coordinate values that some other set has too.
+    """
     posted = classes.select("node", "n", F.posexplode("signature").alias("c", "v")).select(
         "node", "n", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key")
     )
@@ -104,7 +118,7 @@ def posting_prefixes(classes: DataFrame) -> DataFrame:
     per_node = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("k"))
     needed = per_node.filter(F.size("k") >= MATCHES)
     prefix = F.slice("k", F.lit(1), F.size("k") - (MATCHES - 1))
-    return needed.select("node", "n", F.explode(prefix).alias("p")).select("node", "n", F.col("p.key").alias("key"))
+    return needed.select("node", "n", F.size("k").alias("shared"), F.explode(prefix).alias("p")).select("node", "n", "shared", F.col("p.key").alias("key"))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -112,29 +126,49 @@ def _alike(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= MATCHES
 
 
-def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree often enough and whose full sets are similar enough."""
+def _long_alike(a: str, b: str) -> Column:
+    differ = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(LONG // 64)]
+    return sum(differ[1:], differ[0]) <= LONG_DIFFER
+
+
+def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures agree often enough."""
     first = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     second = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    likely = pairs.select("a", "b").join(first, "a").join(second, "b").filter(_alike(F.col("sa"), F.col("sb"))).select("a", "b")
+    return pairs.select("a", "b").join(first, "a").join(second, "b").filter(_alike(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("xa")), sets.select(F.col("node").alias("b"), F.col("s").alias("xb"))
-    full = likely.join(left, "a").join(right, "b")
+    full = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("xa", "xb"))
     union = F.size("xa") + F.size("xb") - both
     return full.filter(both * 100 >= union * PERCENT).select("a", "b")
 
 
 def _between(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings of keys that more than one component holds, with the component of each."""
+    """Postings of keys that more than one component holds, with their component and the hub of the list.
+
+    The hub is the set that shares most with others: the original of a group of edited copies, not one of the copies.
+    """
     if roots is None:
         held = postings.withColumn("root", F.col("node"))
     else:
         held = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lists = held.groupBy("key").agg(F.min(F.struct("root", "node", "n")).alias("first"), F.max("root").alias("last"))
-    open_lists = lists.filter("first.root < last").select("key", F.col("first.root").alias("to_root"), F.col("first.node").alias("to_node"))
+    hub = F.max(F.struct("shared", (-F.col("node")).alias("m"), "root"))
+    lists = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("hub"))
+    open_lists = lists.filter("low < high").select("key", F.col("hub.root").alias("to_root"), (-F.col("hub.m")).alias("to_node"))
     return held.join(open_lists, "key")
 
 
+def _shared_mass(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each node how many of its shingles another of the nodes has as well (``mass``): no intersection is larger."""
+    shingled = sets.join(nodes, "node", "left_semi").select("node", F.explode("s").alias("h"))
+    common = shingled.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
+    return shingled.join(common, "h").groupBy("node").agg(F.count("*").alias("mass"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -168,21 +202,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, roots = None, None
     for _ in range(STAR_ROUNDS):
         held = _between(postings, roots).filter("root <> to_root")
-        met = held.groupBy("root", "to_root").agg(F.count("*").alias("hits"), F.min(F.struct("node", "to_node")).alias("e"))
+        met = held.groupBy("root", "to_root").agg(F.count("*").alias("hits"), F.max(F.struct("shared", "node", "to_node")).alias("e"))
         best = met.groupBy("root").agg(F.max_by("e", F.struct("hits", -F.col("to_root"))).alias("e"))
-        found = _confirm(best.select(F.col("e.node").alias("a"), F.col("e.to_node").alias("b")), signatures, sets)
+        tried = _likely(best.select(F.col("e.node").alias("a"), F.col("e.to_node").alias("b")), signatures)
+        found = _confirm(tried, sets)
         links = stored(found if links is None else found.unionByName(links), "links")
         roots = stored(components(links), "roots")
-    # what is left: every pair of different components that shares a prefix posting; a larger set may hold up to 4/3 of the smaller
-    held = _between(postings, roots).select("key", "node", "root", "n")
+    # What is left: every pair of different components that shares a prefix posting. A larger set holds at most 4/3 of
+    # the smaller one, and no set shares more than its shingles that any other has: edited copies too far from their
+    # original, whose own shingles nobody shares, meet nobody here.
+    held = stored(_between(postings, roots).select("key", "node", "root", "n"), "open-postings")
+    mass = stored(_shared_mass(held.select("node").distinct(), sets), "masses")
+    lists = held.groupBy("node", "root", "n").agg(F.collect_set("key").alias("keys"))  # at most a prefix of keys each
+    able = lists.join(mass, "node").filter(F.col("mass") * 100 >= F.col("n") * PERCENT).join(sets, "node")
+    able = stored(able.select("node", "root", "n", "mass", "keys", F.pandas_udf(long_signature, "array<long>")("s").alias("long")), "able")
     bucket = F.floor(F.log(4 / 3, F.col("n")) + 1e-9)
-    small = held.select("key", bucket.alias("bucket"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    large = held.select(
-        "key", F.explode(F.array(bucket, bucket - 1)).alias("bucket"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")
+    columns = ("node", "root", "n", "mass", "keys", "long")
+    small = able.select(F.explode("keys").alias("key"), bucket.alias("bucket"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    large = able.select(F.explode("keys").alias("key"), F.array(bucket, bucket - 1).alias("at"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    large = large.withColumn("bucket", F.explode("at")).drop("at")
+    fits = (
+        (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("root_a") != F.col("root_b"))
+        & (F.col("n_a") * 100 >= F.col("n_b") * PERCENT)
+        & (F.least("mass_a", "mass_b") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+        & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))  # a pair comes from one of its lists
+        & _long_alike("long_a", "long_b")
     )
-    fits = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ra") != F.col("rb")) & (F.col("na") * 100 >= F.col("nb") * PERCENT)
-    pairs = stored(small.join(large, ["key", "bucket"]).filter(fits).select("a", "b").distinct(), "pairs")
-    links = _confirm(pairs, signatures, sets).unionByName(links)
+    met = small.join(large, ["key", "bucket"]).filter(fits)
+    pairs = stored(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+    links = _confirm(pairs, sets).unionByName(links)
     roots = stored(components(links), "roots")
 
     members = worded.select("id", "row", "n", "set_digest").join(classes.select("set_digest", "node"), "set_digest")
