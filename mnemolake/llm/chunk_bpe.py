@@ -16,6 +16,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -60,18 +61,17 @@ def cut_places(text: str) -> list[int]:
 
 
 class ChunkCodec:
-    """Encoder and decoder of one tokenizer file with bounded caches of parts and chunks."""
+    """Encoder of one tokenizer file with bounded caches of parts and chunks."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Memo(self._encode_part, 600_000)
-        self.chunks = Memo(self._encode_chunk, 150_000)
-        self.bytes_of = {i: t for t, i in byte_tokens(self.tokenizer).items()}
+        self.parts = Memo(self._encode_part, 300_000)
+        self.chunks = Memo(self._encode_chunk, 40_000)
         # the same merges: the rank of a merge is the id of its token, and every token is what its own bytes merge to
-        ranks = {t: i for i, t in self.bytes_of.items() if t.decode("utf-8", "replace") not in self.specials}
+        ranks = {t: i for t, i in byte_tokens(self.tokenizer).items() if t.decode("utf-8", "replace") not in self.specials}
         self.merger = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _encode_part(self, part: str) -> bytes:
@@ -107,9 +107,6 @@ class ChunkCodec:
         out += map(self.parts.__getitem__, _PART.findall(torn))
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
 
 def chunk_codec(path: str) -> ChunkCodec:
     """One codec for every file and Python worker: chunks are shared by all documents of its tasks."""
@@ -118,6 +115,17 @@ def chunk_codec(path: str) -> ChunkCodec:
     return _CODECS[path]
 
 
+@lru_cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every id of a tokenizer file."""
+    return {i: t for t, i in byte_tokens(Tokenizer.from_file(path)).items()}
+
+
+def decode(ids: np.ndarray, tokens: dict[int, bytes]) -> str:
+    """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Add ``ids``: the tokens of the whole text. Null and empty texts have none. Rows and other columns stay."""
 
@@ -134,12 +142,12 @@ def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFr
     """Add ``decoded``: the text of an array of ids; null arrays give null. An unknown id fails the task."""
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = chunk_codec(path)
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = token_bytes(path)
         for rows in batches:
-            yield pd.Series([None if ids is None else codec.decode(np.asarray(ids)) for ids in rows], dtype=object)
+            yield pd.Series([None if ids is None else decode(np.asarray(ids), tokens) for ids in rows], dtype=object)
 
-    return docs.withColumn("decoded", decode(F.col(ids_col)))
+    return docs.withColumn("decoded", decoded(F.col(ids_col)))
 
 
 @registry.add("op3_chunk_bpe")
