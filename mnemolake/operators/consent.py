@@ -12,7 +12,7 @@ from mnemolake.operators.common import top_k
 
 def categories(topics: Column) -> Column:
     """Consent categories of a topic list: exact word, else first word contained in the topic; else general."""
-    words = [(w, c) for c, ws in fixed.TOPIC_CATEGORIES for w in ws.split()]
+    words = fixed.TOPIC_CATEGORIES
     exact = F.create_map(*[F.lit(x) for pair in words for x in pair])
     ordered = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in words])
 

@@ -71,8 +71,18 @@ def dedupe_messages(messages: DataFrame, key_chars: int = 100) -> DataFrame:
 
 
 def merge_metadata(docs: DataFrame, updates: DataFrame, now: str) -> DataFrame:
-    """Shallow overwrite of the metadata map; optional new text; stamps ``updated_at``."""
-    u = updates.select("doc_id", F.col("metadata").alias("_new"), F.col("text").alias("_text"))
+    """Shallow overwrite of the metadata map; optional new text; stamps ``updated_at``.
+
+    Several updates of one id are applied in the order of their ``seq`` column (without one they count as
+    simultaneous and the largest value of a key wins): the last value of each key and the last text remain.
+    """
+    order = F.col("seq") if "seq" in updates.columns else F.lit(0)
+    rows = updates.select("doc_id", order.alias("_seq"), "metadata", "text")
+    keys = rows.select("doc_id", "_seq", F.explode("metadata").alias("k", "v"))
+    last = keys.groupBy("doc_id", "k").agg(F.max(F.struct("_seq", "v")).alias("l"))
+    maps = last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "l.v"))).alias("_new"))
+    texts = rows.groupBy("doc_id").agg(F.max(F.when(F.col("text").isNotNull(), F.struct("_seq", "text"))).alias("_t"))
+    u = texts.join(maps, "doc_id", "left").select("doc_id", "_new", F.col("_t.text").alias("_text"))
     empty = F.create_map().cast("map<string,string>")
     merged = F.map_concat(
         F.coalesce("metadata", empty), F.coalesce("_new", empty), F.create_map(F.lit("updated_at"), F.lit(now))

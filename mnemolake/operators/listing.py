@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
@@ -72,12 +75,30 @@ def sanitize_map(metadata: Column, drop_people: bool = True) -> Column:
 
 
 def sanitize_json(text: Column, drop_people: bool = True) -> Column:
-    """The same for a JSON text, at any depth: object members with a banned key disappear."""
-    banned = "|".join(fixed.PII_SESSION_KEYS + (fixed.PERSON_KEYS if drop_people else ()))
-    value = r'(?:"(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{[^{}]*\}|[^,{}\[\]]+)'
-    member = rf'"(?:{banned})"\s*:\s*{value}'
-    without = F.regexp_replace(text, rf"{member}\s*,\s*", "")
-    return F.regexp_replace(without, rf",?\s*{member}", "")
+    """The same for a JSON text, at any depth: object members with a banned key disappear, whatever their value.
+
+    Only texts that name a banned key (or escape characters, which could hide one) are parsed, in Arrow batches. Of
+    those, texts that are no valid JSON become null rather than leak.
+    """
+    banned = frozenset(fixed.PII_SESSION_KEYS + (fixed.PERSON_KEYS if drop_people else ()))
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: clean(v) for k, v in value.items() if k not in banned}
+        return [clean(v) for v in value] if isinstance(value, list) else value
+
+    def one(raw):
+        try:
+            return None if raw is None else json.dumps(clean(json.loads(raw)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    names = "|".join(f'"{key}"' for key in sorted(banned))
+    return F.when(text.rlike(names + r"|\\u"), parsed(text)).otherwise(text)
 
 
 def context_metadata(metadata: Column, context: str = "llm") -> Column:

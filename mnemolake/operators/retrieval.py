@@ -165,7 +165,6 @@ def unified_search(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, mode: str = "balanced", k: int = 10
 ) -> DataFrame:
     """``fast``: keyword. ``balanced``: best of keyword and hybrid per document. ``quality``: re-ranked."""
-    k = min(k, 20)
     keyword = bm25_search(queries, docs, 2 * k).select("query_id", "doc_id", "score", F.lit("keyword").alias("tier"))
     if mode == "fast":
         return top_k(keyword.withColumnRenamed("tier", "tiers"), ["query_id"], by_score(), k)
@@ -406,29 +405,27 @@ def term_coverage_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> Dat
     return top_k(titled, ["query_id"], [F.desc("score"), F.asc("title"), F.asc("doc_id")], k)
 
 
-def best_excerpt(pairs: DataFrame, window: int = 650, lead: int = 160) -> DataFrame:
+def best_excerpt(pairs: DataFrame, window: int = 650, lead: int = 160, anchors: tuple = (), bonus: tuple = ()) -> DataFrame:
     """For (query_id, doc_id, query, text): the window around a first term position that covers most terms.
 
-    Anchors and scores are computed inside the row; the earliest anchor wins ties, hint phrases come first.
+    ``anchors`` are rows (stem, phrase): the phrase may start a window when a query term begins with the stem; windows that
+    hold a ``bonus`` phrase score four points more. Both are lower case and the caller's own. Positions and scores are computed inside the
+    row; the earliest position wins ties, anchors come first.
     """
     terms = query_terms(F.col("query"), fixed.STOP_WORDS_COVERAGE)
     low = F.lower("text")
     rows = pairs.withColumn("_terms", terms).withColumn("_low", low)
 
-    def phrase_anchor(phrase: str) -> Column:
-        parts = F.array(*[F.lit(p) for p in phrase.split()])
-        fits = F.arrays_overlap(parts, F.col("_terms"))
-        if phrase == "allergies":
-            fits = fits | F.exists("_terms", lambda t: F.startswith(t, F.lit("allerg")))
-        return F.when(fits, F.instr(F.col("_low"), phrase)).otherwise(0)
+    def phrase_anchor(stem_: str, phrase: str) -> Column:
+        return F.when(F.exists("_terms", lambda t: F.startswith(t, F.lit(stem_))), F.instr(F.col("_low"), phrase)).otherwise(0)
 
-    phrases = F.array(*[phrase_anchor(p) for p in fixed.EXCERPT_ANCHOR_PHRASES])
+    phrases = F.array(*[phrase_anchor(*row) for row in anchors]).cast("array<int>")
     positions = F.concat(phrases, F.transform("_terms", lambda t: F.position(t, F.col("_low"))))
-    anchors = F.filter(positions, lambda p: p > 0)
+    places = F.filter(positions, lambda p: p > 0)
 
     def score(piece: Column) -> Column:
         found = F.size(F.filter("_terms", lambda t: F.contains(piece, t)))
-        extra = [F.when(F.contains(piece, F.lit(p)), 4).otherwise(0) for p in fixed.EXCERPT_SCORE_PHRASES]
+        extra = [F.when(F.contains(piece, F.lit(p)), 4).otherwise(0) for p in bonus]
         return reduce(lambda a, b: a + b, extra, found)
 
     def candidate(p: Column, i: Column) -> Column:
@@ -436,7 +433,7 @@ def best_excerpt(pairs: DataFrame, window: int = 650, lead: int = 160) -> DataFr
         points = let(F.substring(F.col("_low"), start + 1, F.lit(window)), score)
         return F.struct(points.alias("score"), (-i).alias("order"), start.alias("start"))
 
-    best = F.array_max(F.transform(anchors, candidate))
+    best = F.array_max(F.transform(places, candidate))
     start = F.coalesce(best["start"], F.lit(0))
     return rows.select(
         "query_id",

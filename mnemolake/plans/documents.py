@@ -108,6 +108,30 @@ def _(t):
     return out.select("doc_id", get("source"), get("lang"), get("quality"), get("updated_at"), F.length("text").alias("n"))
 
 
+@add(
+    "merge_metadata_repeated",
+    """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'checked' END AS lang,
+        coalesce(CAST(l.quality AS VARCHAR), '') AS quality, CASE WHEN l.doc_id IS NULL THEN length(d.text) ELSE 3 END AS n
+        FROM documents d LEFT JOIN (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id""",
+)
+def _(t):
+    docs = t.documents.select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    label = t.labels.select("doc_id", F.col("quality").cast("string").alias("q"))
+
+    def update(seq, text, **values):
+        pairs = [x for k, v in values.items() for x in (F.lit(k), v)]
+        return label.select("doc_id", F.lit(seq).alias("seq"), F.lit(text).cast("string").alias("text"), F.create_map(*pairs).alias("metadata"))
+
+    changes = update(1, "first text", lang=F.lit("reviewed"), quality=F.col("q")).unionByName(
+        update(3, None, lang=F.lit("checked"))
+    ).unionByName(update(2, "new", lang=F.lit("wrong")))
+    out = identity.merge_metadata(docs, changes, "2026-06-01T12:00:00Z")
+    return out.select(
+        "doc_id", F.col("metadata")["lang"].alias("lang"), F.coalesce(F.col("metadata")["quality"], F.lit("")).alias("quality"),
+        F.length("text").alias("n"),
+    )
+
+
 @add(
     "delete_documents",
     f"""WITH {CHUNKS}, rows AS (SELECT CAST(doc_id AS VARCHAR) AS row_id, doc_id AS own FROM documents
@@ -270,6 +294,19 @@ def _(t):
     )
 
 
+@add(
+    "sanitize_metadata_nested",
+    """SELECT event_id, '{"a": [{"k": ' || user_id || '}], "b": {"c": "x, }{"}}' AS clean FROM events""",
+)
+def _(t):
+    user = F.col("user_id").cast("string")
+    raw = F.concat(
+        F.lit('{"persons": {"u"'), F.lit(': {"name": ["Ann", {"of": "Lee"}]}}, "a": [{"k": '), user,
+        F.lit(', "pii_session_id": {"x": [1, [2]]}}], "b": {"c": "x, }{", "persons": [["'), user, F.lit('"]]}}'),
+    )
+    return t.events.select("event_id", listing.sanitize_json(raw).alias("clean"))
+
+
 @add(
     "public_memory_view",
     sql("memory_v", """SELECT doc_id, kind, workspace, memory_key, state, version,

@@ -43,11 +43,11 @@ def flatten_chat_mapping(exports: DataFrame, joiner: str = "\n") -> DataFrame:
     )
 
 
-def nested_texts(data: Column, depth: int = 5, limit: int = 100) -> Column:
+def nested_texts(data: Column, depth: int = 5, limit: int | None = None) -> Column:
     """Texts longer than three characters in a JSON value, through lists and the known text fields.
 
     ``data`` is JSON text. Each round replaces every list by its items and every object by its known fields
-    and leaves plain texts alone, so reading order is kept; ``depth`` rounds, then the first ``limit`` texts.
+    and leaves plain texts alone, so reading order is kept; ``depth`` rounds; ``limit`` keeps only the first texts.
     """
     kinds = "array<string>"
     fields = "struct<" + ",".join(f"{f}:string" for f in fixed.NESTED_TEXT_FIELDS) + ">"
@@ -65,7 +65,8 @@ def nested_texts(data: Column, depth: int = 5, limit: int = 100) -> Column:
     for _ in range(depth):
         level = F.flatten(F.transform(level, unfold))
     text = lambda v: (F.length(v) > 3) & ~F.rlike(F.ltrim(v), F.lit("^[\\[{]"))
-    return F.slice(F.filter(level, text), 1, limit)
+    found = F.filter(level, text)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def normalize_exports(exports: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def documents_with_highlights(docs: DataFrame, highlights: DataFrame, part_rows:
 ITEM = "struct<" + ",".join(f"{f}:string" for f in fixed.ITEM_TEXT_FIELDS) + ">"
 
 
-def extract_json_text(files: DataFrame, limit: int = 100) -> DataFrame:
+def extract_json_text(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Readable text of a JSON file (file_id, raw): chat mapping, messages, list of items, or the JSON itself."""
     raw = F.col("raw")
     j = F.from_json(raw, EXPORT)
@@ -293,8 +294,9 @@ def extract_json_text(files: DataFrame, limit: int = 100) -> DataFrame:
     ).otherwise(heading)
     is_list = F.startswith(F.ltrim(raw), F.lit("["))
     first = lambda x: F.coalesce(*[x[f] for f in fixed.ITEM_TEXT_FIELDS])
-    items = F.array_compact(F.transform(F.slice("objects", 1, limit), first))
-    plain = F.filter(F.slice("strings", 1, limit), lambda s: ~F.startswith(F.ltrim(s), F.lit("{")))
+    head = lambda c: F.col(c) if limit is None else F.slice(c, 1, limit)
+    items = F.array_compact(F.transform(head("objects"), first))
+    plain = F.filter(head("strings"), lambda s: ~F.startswith(F.ltrim(s), F.lit("{")))
     chosen = F.when(is_list & (F.size(items) > 0), F.array_join(items, "\n")).when(
         is_list & (F.size(plain) > 0), F.array_join(plain, "\n")
     ).when(~is_list & (F.size(lines) > 0), F.array_join(lines, "\n"))

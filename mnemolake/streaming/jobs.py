@@ -49,15 +49,20 @@ def captured_messages(messages: DataFrame) -> DataFrame:
 def capture_batch(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Store one batch of captures; returns (conv_id, new_messages, event).
 
-    A full capture replaces the conversation by starting a new generation. Otherwise messages whose role and
-    first 100 characters are known already are skipped. ``batch``: conv_id, seq, role, text, full.
+    A full capture (a run of full rows in the order of ``seq``) replaces the conversation by starting a new generation;
+    of several, the last one counts, and what came before it goes. Other messages, also those after a full capture,
+    are skipped when their role and first 100 characters are known already. ``batch``: conv_id, seq, role, text, full.
     """
     spark = batch.sparkSession
     stored = read_store(spark, f"{path}/messages")
     stored = None if stored is None else stored.filter(F.col("batch") < batch_id)
     generation = F.lit(batch_id + 1).cast("long")
-    full = batch.groupBy("conv_id").agg(F.bool_or("full").alias("_full"))
-    rows = batch.join(full, "conv_id").withColumn("head", F.left("text", F.lit(100)))
+    full = batch.groupBy("conv_id").agg(F.bool_or("full").alias("_full"), F.max(F.when(F.col("full"), F.col("seq"))).alias("_last"))
+    marked = batch.join(full, "conv_id")
+    # the last run of full rows begins after the last other row before its end
+    before = marked.groupBy("conv_id").agg(F.max(F.when(~F.col("full") & (F.col("seq") < F.col("_last")), F.col("seq"))).alias("_before"))
+    full = full.drop("_last")
+    rows = marked.join(before, "conv_id").filter("_before is null or seq > _before").withColumn("head", F.left("text", F.lit(100)))
     if stored is None:
         known = spark.createDataFrame([], "conv_id long, generation long, role string, head string")
     else:
@@ -66,10 +71,12 @@ def capture_batch(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
     replaced = rows.filter(F.col("_full") & F.col("full")).select(
         "conv_id", "seq", "role", "text", generation.alias("generation")
     )
-    appended = first_per(rows.filter(~F.col("_full")), ["conv_id", "role", "head"], [F.col("seq")])
-    appended = appended.join(known.select("conv_id", "role", "head").distinct(), ["conv_id", "role", "head"], "left_anti")
-    appended = appended.join(current, "conv_id", "left").select(
-        "conv_id", "seq", "role", "text", F.coalesce("_current", F.lit(0)).cast("long").alias("generation")
+    appended = first_per(rows.filter(~F.col("full")), ["conv_id", "role", "head"], [F.col("seq")])
+    seen = known.join(full.filter(~F.col("_full")).select("conv_id"), "conv_id", "left_semi").select("conv_id", "role", "head")
+    seen = seen.unionByName(rows.filter(F.col("full")).select("conv_id", "role", "head")).distinct()
+    appended = appended.join(seen, ["conv_id", "role", "head"], "left_anti").join(current, "conv_id", "left").select(
+        "conv_id", "seq", "role", "text",
+        F.when(F.col("_full"), generation).otherwise(F.coalesce("_current", F.lit(0))).cast("long").alias("generation"),
     )
     fresh = replaced.unionByName(appended)
     fresh.write.mode("overwrite").parquet(f"{path}/messages/batch={batch_id}")

@@ -148,7 +148,9 @@ def test_unified_quality_and_hybrid_extremes(spark):
 def test_best_excerpt_hint_phrases(spark):
     text = "x " * 400 + "Known allergies: penicillin. " + "y " * 400
     pairs = spark.createDataFrame([(1, 1, "any allergy to note", text)], "query_id long, doc_id long, query string, text string")
-    assert "penicillin" in rows(retrieval.best_excerpt(pairs))[0]["excerpt"]
+    hinted = retrieval.best_excerpt(pairs, anchors=(("allerg", "allergies"),), bonus=("penicillin",))
+    assert "penicillin" in rows(hinted)[0]["excerpt"]
+    assert "penicillin" not in rows(retrieval.best_excerpt(pairs))[0]["excerpt"]
 
 
 def test_grep_caps_lines_and_keeps_context(spark):
@@ -528,3 +530,48 @@ def test_context_metadata_swaps_only_with_pii(spark):
     r = rows(spark.range(1).select(listing.context_metadata(bag("true")).alias("a"), listing.context_metadata(bag("false")).alias("b"), listing.context_metadata(bag("true"), "user").alias("c")))[0]
     assert r["a"]["image_path"] == "red" and "original_transcript" not in r["a"] and "original_image_path" not in r["a"]
     assert r["b"]["original_transcript"] == "secret" and r["c"]["image_path"] == "raw"
+
+
+def test_merge_metadata_applies_updates_in_order(spark):
+    from mnemolake.operators.identity import merge_metadata
+
+    docs = spark.createDataFrame([(1, "old", {"a": "0"}), (2, "x", None)], "doc_id int, text string, metadata map<string,string>")
+    changes = spark.createDataFrame(
+        [(1, 2, None, {"a": "2"}), (1, 1, "one", {"a": "1", "b": "1"})], "doc_id int, seq int, text string, metadata map<string,string>"
+    )
+    rows = {r.doc_id: r for r in merge_metadata(docs, changes, "now").collect()}
+    assert len(rows) == 2
+    assert (rows[1].text, rows[1].metadata) == ("one", {"a": "2", "b": "1", "updated_at": "now"})
+    assert (rows[2].text, rows[2].metadata) == ("x", None)
+
+
+def test_sanitize_json_at_any_depth(spark):
+    from mnemolake.operators.listing import sanitize_json
+
+    texts = [
+        '{"persons": {"a": {"b": "Ann Lee"}}, "k": 1}', '{"k": [{"persons": [["Ann"]]}, 2]}', '{"k": 1}', '{"persons": {', None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(sanitize_json(rows.t)).collect()]
+    assert got == ['{"k": 1}', '{"k": [{}, 2]}', '{"k": 1}', None, None]
+
+
+def test_capture_after_a_full_one(spark, tmp_path):
+    from mnemolake.streaming.jobs import capture_batch, captured_messages, read_store
+
+    rows = [(7, 1, "user", "gone", True), (7, 2, "user", "before", False), (7, 3, "user", "a", True), (7, 4, "bot", "b", True),
+            (7, 5, "user", "later", False), (7, 6, "user", "a", False), (8, 1, "user", "plain", False)]
+    capture_batch(spark.createDataFrame(rows, "conv_id long, seq int, role string, text string, full boolean"), str(tmp_path), 0)
+    kept = captured_messages(read_store(spark, f"{tmp_path}/messages")).collect()
+    assert sorted((r.conv_id, r.text) for r in kept) == [(7, "a"), (7, "b"), (7, "later"), (8, "plain")]
+
+
+def test_long_lists_are_whole(spark):
+    import json
+
+    from mnemolake.sources.exports import extract_json_text, nested_texts
+
+    raw = json.dumps([f"item number {i}" for i in range(150)])
+    rows = spark.createDataFrame([(1, raw)], "file_id int, raw string")
+    assert len(rows.select(nested_texts(rows.raw)).first()[0]) == 150
+    assert len(extract_json_text(rows).first().text.split("\n")) == 150
