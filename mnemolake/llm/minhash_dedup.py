@@ -33,9 +33,9 @@ WORDS = 5
 COORDINATES = 64
 MATCHES = 32
 # where lists are joined in full: coordinates of which only the lowest bit is kept, and the bits that may differ. Sets of
-# similarity 0.75 differ in 128 bits on average and in more than 175 about once in 200,000.
-LONG = 1024
-LONG_DIFFER = 175
+# similarity 0.75 differ in 256 bits on average and in more than 322 about once in 150,000.
+LONG = 2048
+LONG_DIFFER = 322
 PERCENT = 75
 STAR_ROUNDS = 3
 SKETCH = "n long, set_digest binary, signature array<int>"
@@ -80,8 +80,8 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Per coordinate the smallest of the multiplied hashes' upper halves."""
     low = np.full(coordinates, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 4096):  # bounded memory for very long texts
-        block = shingles[at : at + 4096, None] * _MULTIPLIERS[:coordinates] + _OFFSETS[:coordinates]
+    for at in range(0, len(shingles), 1024):  # bounded memory for very long texts
+        block = shingles[at : at + 1024, None] * _MULTIPLIERS[:coordinates] + _OFFSETS[:coordinates]
         np.minimum(low, (block >> np.uint64(32)).astype(np.uint32).min(axis=0), out=low)
     return low.view(np.int32)
 
