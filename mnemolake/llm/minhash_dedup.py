@@ -36,6 +36,11 @@ MATCHES = 32
 # similarity 0.75 differ in 256 bits on average and in more than 322 about once in 150,000.
 LONG = 2048
 LONG_DIFFER = 322
+# the first bits are compared before the others: 64 of 512 differ on average, more than 102 about once in 500,000
+FIRST = 512
+FIRST_DIFFER = 102
+BLOCK = 2048  # rows of a list that are compared with as many others in one task
+STRIP = 256  # rows compared at a time inside a task
 PERCENT = 75
 STAR_ROUNDS = 3
 SKETCH = "n long, set_digest binary, signature array<int>"
@@ -126,9 +131,79 @@ def _alike(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= MATCHES
 
 
-def _long_alike(a: str, b: str) -> Column:
-    differ = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(LONG // 64)]
-    return sum(differ[1:], differ[0]) <= LONG_DIFFER
+def _compare(small: pd.DataFrame, large: pd.DataFrame, key: int) -> list[tuple[int, int]]:
+    """Pairs of one list that may be links, the smaller set first; a pair comes from the smallest key both have."""
+    n, node, root, mass = (large[c].to_numpy() for c in ("n", "node", "root", "mass"))
+    bits = np.stack(large["long"].to_list()).view(np.uint64)
+    bits_small = np.stack(small["long"].to_list()).view(np.uint64)
+    words = FIRST // 64
+    held: dict[tuple[int, int], frozenset] = {}
+
+    def keys(side: int, table: pd.DataFrame, at: int) -> frozenset:
+        if (side, at) not in held:
+            held[side, at] = frozenset(table["keys"].iat[at].tolist())
+        return held[side, at]
+
+    out = []
+    for start in range(0, len(small), STRIP):
+        strip = slice(start, start + STRIP)
+        n_s, node_s, root_s, mass_s = (small[c].to_numpy()[strip, None] for c in ("n", "node", "root", "mass"))
+        fits = ((n_s < n) | ((n_s == n) & (node_s < node))) & (root_s != root) & (n_s * 100 >= n * PERCENT)
+        fits &= np.minimum(mass_s, mass) * (100 + PERCENT) >= (n_s + n) * PERCENT
+        if not fits.any():
+            continue
+        differ = np.zeros(fits.shape, np.uint16)
+        for w in range(words):
+            differ += np.bitwise_count(bits_small[strip, w, None] ^ bits[:, w])
+        x, y = np.nonzero(fits & (differ <= FIRST_DIFFER))
+        x += start
+        close = np.zeros(len(x), np.int64)
+        for w in range(LONG // 64):
+            close += np.bitwise_count(bits_small[x, w] ^ bits[y, w])
+        for i, j in zip(x[close <= LONG_DIFFER].tolist(), y[close <= LONG_DIFFER].tolist()):
+            if min(keys(0, small, i) & keys(1, large, j)) == key:
+                out.append((int(small["node"].iat[i]), int(node[j])))
+    return out
+
+
+def _compare_lists(part: pd.DataFrame) -> pd.DataFrame:
+    """All lists, or pairs of blocks of lists, of one task."""
+    out = []
+    for (key, *_), rows in part.groupby(["key", "bucket", "i", "j"], sort=False):
+        small, large = rows[rows["small"]], rows[~rows["small"]]
+        if len(small) and len(large):
+            out += _compare(small, large, key)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _met(able: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a list and may be links.
+
+    Lists are split by set size, as a larger set holds at most 4/3 of the smaller one: a set is the smaller of a pair in
+    its own size bucket, and the larger one in its own and the one below. A list longer than ``BLOCK`` is split into
+    blocks by node, and each pair of blocks is a group of its own; short lists share groups of about that size. So no
+    task holds more than a few blocks, however long a list is.
+    """
+    bucket = F.floor(F.log(4 / 3, F.col("n")) + 1e-9)
+    own = F.struct(bucket.alias("bucket"), F.lit(True).alias("small"))
+    others = [F.struct((bucket - down).alias("bucket"), F.lit(False).alias("small")) for down in (0, 1)]
+    posted = able.select("*", F.explode("keys").alias("key")).withColumn("side", F.explode(F.array(own, *others)))
+    posted = posted.select("node", "root", "n", "mass", "keys", "long", "key", "side.*")
+    sizes = posted.groupBy("key", "bucket").agg(F.count_if("small").alias("smaller"), F.count_if(~F.col("small")).alias("larger"))
+    sizes = stored(sizes.filter("smaller > 0 and larger > 1"), "list-sizes")
+    groups = 1 + (sizes.agg(F.sum(F.col("smaller") + F.col("larger"))).first()[0] or 0) // BLOCK
+    rows = posted.join(sizes, ["key", "bucket"])
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("smaller", "larger")]
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("small"), blocks[0]).otherwise(blocks[1])).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.when(F.col("small"), blocks[1]).otherwise(blocks[0]) - 1))
+    )
+    rows = rows.withColumn("i", F.when(F.col("small"), F.col("mine")).otherwise(F.col("other")))
+    rows = rows.withColumn("j", F.when(F.col("small"), F.col("other")).otherwise(F.col("mine")))
+    short = (F.col("smaller") <= BLOCK) & (F.col("larger") <= BLOCK)
+    group = F.when(short, F.pmod(F.xxhash64("key", "bucket"), F.lit(groups))).otherwise(F.xxhash64("key", "bucket", "i", "j"))
+    rows = rows.select(group.alias("group"), "key", "bucket", "i", "j", "small", "node", "root", "n", "mass", "keys", "long")
+    return rows.groupBy("group").applyInPandas(_compare_lists, "a long, b long")
 
 
 def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -208,28 +283,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _confirm(tried, sets)
         links = stored(found if links is None else found.unionByName(links), "links")
         roots = stored(components(links), "roots")
-    # What is left: every pair of different components that shares a prefix posting. A larger set holds at most 4/3 of
-    # the smaller one, and no set shares more than its shingles that any other has: edited copies too far from their
-    # original, whose own shingles nobody shares, meet nobody here.
+    # What is left: every pair of different components that shares a prefix posting. No set shares more than its shingles
+    # that any other has: edited copies too far from their original, whose own shingles nobody shares, meet nobody here.
     held = stored(_between(postings, roots).select("key", "node", "root", "n"), "open-postings")
     mass = stored(_shared_mass(held.select("node").distinct(), sets), "masses")
     lists = held.groupBy("node", "root", "n").agg(F.collect_set("key").alias("keys"))  # at most a prefix of keys each
     able = lists.join(mass, "node").filter(F.col("mass") * 100 >= F.col("n") * PERCENT).join(sets, "node")
     able = stored(able.select("node", "root", "n", "mass", "keys", F.pandas_udf(long_signature, "array<long>")("s").alias("long")), "able")
-    bucket = F.floor(F.log(4 / 3, F.col("n")) + 1e-9)
-    columns = ("node", "root", "n", "mass", "keys", "long")
-    small = able.select(F.explode("keys").alias("key"), bucket.alias("bucket"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    large = able.select(F.explode("keys").alias("key"), F.array(bucket, bucket - 1).alias("at"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    large = large.withColumn("bucket", F.explode("at")).drop("at")
-    fits = (
-        (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.col("n_a") * 100 >= F.col("n_b") * PERCENT)
-        & (F.least("mass_a", "mass_b") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
-        & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))  # a pair comes from one of its lists
-        & _long_alike("long_a", "long_b")
-    )
-    met = small.join(large, ["key", "bucket"]).filter(fits)
-    pairs = stored(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+    pairs = stored(_met(able), "pairs")
     links = _confirm(pairs, sets).unionByName(links)
     roots = stored(components(links), "roots")
 
