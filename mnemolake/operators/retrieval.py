@@ -331,25 +331,26 @@ def search_with_excerpt(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 # --- raw text ------------------------------------------------------------------------------------------
 def grep_corpus(
-    docs: DataFrame, needle: str, k: int = 20, context: int = 2, per_file: int = 10, ignore_case: bool = True
+    docs: DataFrame, needle: str, k: int = 20, context: int = 2, per_file: int | None = None, ignore_case: bool = True
 ) -> DataFrame:
     """Lines containing a literal text with their neighbours.
 
-    At most ``per_file`` lines per document and ``k`` documents, those with most lines first. All line work
-    happens inside the row; only matching lines are exploded.
+    The ``k`` documents with most matching lines; ``match_count`` counts them all, also where ``per_file`` shows only the
+    first ones. All line work happens inside the row; only matching lines are exploded.
     """
     low = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     wanted = needle.lower() if ignore_case else needle
     candidates = docs.filter(F.contains(low(F.col("text")), F.lit(wanted)))
     lines = candidates.select("doc_id", F.split("text", "\n").alias("lines"))
     hit = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.contains(low(F.get("lines", i - 1)), F.lit(wanted)))
-    found = lines.select("doc_id", "lines", F.slice(hit, 1, per_file).alias("hits")).filter(F.size("hits") > 0)
+    found = lines.select("doc_id", "lines", hit.alias("hits")).filter(F.size("hits") > 0)
     best = (
         found.select("doc_id", F.size("hits").alias("match_count"), "lines", "hits")
         .orderBy(F.desc("match_count"), F.asc("doc_id"))
         .limit(k)
     )
-    rows = best.select("doc_id", "match_count", "lines", F.explode("hits").alias("line_number"))
+    shown = F.col("hits") if per_file is None else F.slice("hits", 1, per_file)
+    rows = best.select("doc_id", "match_count", "lines", F.explode(shown).alias("line_number"))
     n = F.col("line_number")
     before = F.slice("lines", F.greatest(n - context, F.lit(1)), F.least(n - 1, F.lit(context)))
     after = F.slice("lines", n + 1, F.lit(context))

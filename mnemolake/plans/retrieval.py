@@ -319,12 +319,12 @@ def _(t):
     "grep_corpus",
     r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE contains(lower(text), 'than')),
     x AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM l),
-    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM x WHERE contains(lower(lines[n]), 'than')),
-    c AS (SELECT doc_id, least(count(*), 10) AS match_count FROM h GROUP BY doc_id ORDER BY match_count DESC, doc_id LIMIT 20)
+    h AS (SELECT * FROM x WHERE contains(lower(lines[n]), 'than')),
+    c AS (SELECT doc_id, count(*) AS match_count FROM h GROUP BY doc_id ORDER BY match_count DESC, doc_id LIMIT 20)
     SELECT doc_id, match_count, n AS line_number, trim(lines[n]) AS line,
     array_to_string(list_transform(lines[greatest(n - 2, 1):n - 1], lambda s: trim(s)), chr(10)) AS context_before,
     array_to_string(list_transform(lines[n + 1:n + 2], lambda s: trim(s)), chr(10)) AS context_after
-    FROM h JOIN c USING (doc_id) WHERE r <= 10""",
+    FROM h JOIN c USING (doc_id)""",
 )
 def _(t):
     return r.grep_corpus(t.documents, "Than")

@@ -155,9 +155,12 @@ def test_best_excerpt_hint_phrases(spark):
 
 def test_grep_caps_lines_and_keeps_context(spark):
     text = "\n".join(f"line {i} {'HIT' if i % 2 else ''}" for i in range(40))
-    out = rows(retrieval.grep_corpus(docs_of(spark, [text, "nothing"]), "hit"))
+    out = rows(retrieval.grep_corpus(docs_of(spark, [text, "nothing"]), "hit", per_file=10))
     assert len(out) == 10 and out[0]["line_number"] == 2 and out[0]["context_before"] == "line 0"
     assert retrieval.grep_corpus(docs_of(spark, [text]), "hit", ignore_case=False).count() == 0
+    many = rows(retrieval.grep_corpus(docs_of(spark, ["hit\n" * 30]), "hit", per_file=4))
+    assert len(many) == 4 and {r["match_count"] for r in many} == {30}
+    assert retrieval.grep_corpus(docs_of(spark, ["hit\n" * 30]), "hit").count() == 30
 
 
 # --- enrichment ---------------------------------------------------------------------------------------------------
