@@ -22,8 +22,11 @@ from mnemolake.llm.shared import Registry, table
 registry = Registry()
 
 SAMPLE_PAGES = 400
-#: elements whose content is no text of the page
-SILENT = ("script", "style", "template", "noscript", "svg", "math", "head", "title", "textarea", "select", "iframe", "object")
+#: raw elements run to their end tag or the end of the page; the other silent ones are left out if their end tag comes
+RAW = ("script", "style", "textarea")
+#: elements whose content is no text of the page. ``head`` is none: what may stand in it is silent or empty, all else ends it
+SILENT = ("template", "noscript", "svg", "math", "title", "select", "iframe", "object")
+FOREIGN = ("svg", "math")  # here and inside, a tag that ends in "/>" is a whole element
 #: elements that break a line of text
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -37,9 +40,12 @@ BOILERPLATE_CLASS = re.compile(
     r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_ ])"
 )
 PENALTIES = (2.0, 5.0, 10.0, 20.0, 40.0)
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>]).*?(?:</(?P=silent)\s*+>|\Z)"
-    r"""|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|(?P<text>[^<]++|<)""",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(?P<raw>" + "|".join(RAW) + rf")(?=[\s/>])(?P<head>{_REST}>|[^>]*+>)(?P<inside>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z))"
+    r"|<(?P<shut>/?)(?P<silent>" + "|".join(SILENT) + rf")(?=[\s/>])(?P<tail>{_REST}>|[^>]*+>)"
+    rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>{_REST})>|<[!?/][^>]*+>|(?P<text>[^<]++|<)",
     re.IGNORECASE | re.DOTALL,
 )
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -62,17 +68,36 @@ def _prior(kind: str) -> float:
 def read(page: str) -> list[tuple]:
     """The page as ("text", raw, kinds of the open blocks) and ("tag", name, kinds of the blocks around it) events.
 
-    A kind is the element name with its first class, id or role. A closing tag closes everything opened after its
-    opening tag and is ignored without one; a new block ends an open paragraph. Comments, scripts and styles are gone.
+    A kind is the element name with its first class, id or role. A closing tag closes everything opened
+    after its opening tag and is ignored without one; a new block ends an open paragraph. Comments, scripts and styles
+    are gone, and so is all between the tags of a silent element; without an end tag only its own tag is.
     """
-    events, open_, kinds = [], [], ()
-    for m in _TOKEN.finditer(page):
+    events, open_, kinds, pos = [], [], (), 0
+    begun, n_begun = [], Counter()  # silent elements: name, events before it, open blocks and their kinds
+    while pos < len(page):
+        m = _TOKEN.match(page, pos)
+        pos = m.end()
         text = m["text"]
         if text is not None:
             events.append(("text", text, kinds))
             continue
         name = m["name"]
         if name is None:
+            if m["raw"]:
+                if m["head"].endswith("/>") and (n_begun["svg"] or n_begun["math"]):
+                    pos = m.start("inside")
+            elif m["silent"]:
+                silent = m["silent"].lower()
+                if not m["shut"]:
+                    if not (m["tail"].endswith("/>") and (silent in FOREIGN or n_begun["svg"] or n_begun["math"])):
+                        begun.append((silent, len(events), list(open_), kinds))
+                        n_begun[silent] += 1
+                elif n_begun[silent]:
+                    passed = None
+                    while passed != silent:
+                        passed, at, open_, kinds = begun.pop()
+                        n_begun[passed] -= 1
+                    del events[at:]
             continue
         name, outer = name.lower(), kinds
         if name in BLOCKS and name not in VOID:
