@@ -33,6 +33,8 @@ BLOCKS = frozenset(
     "h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: elements that are judged by their name alone; their classes speak of the page
+WHOLE = frozenset("html body article main".split())
 #: names that usually hold no article, before any page is counted
 BOILERPLATE = frozenset("nav aside footer form menu dialog button fieldset".split())
 BOILERPLATE_CLASS = re.compile(
@@ -60,26 +62,35 @@ class Weights:
     penalty: float = 10.0
 
 
+@dataclass(eq=False, slots=True)
+class Block:
+    """An open element: its name, one kind per token of its class, and the number of words it holds."""
+
+    name: str
+    kinds: tuple[str, ...] = ()
+    words: int = 0
+
+
 def _prior(kind: str) -> float:
     name, _, label = kind.partition(".")
     return 0.02 if name in BOILERPLATE or label and BOILERPLATE_CLASS.search(label) else 0.9
 
 
 def read(page: str) -> list[tuple]:
-    """The page as ("text", raw, kinds of the open blocks) and ("tag", name, kinds of the blocks around it) events.
+    """The page as ("text", raw, open blocks, words) and ("tag", name, blocks around it, 0) events.
 
-    A kind is the element name with its first class, id or role. A closing tag closes everything opened
+    A kind is the element name with one token of its first class, id or role. A closing tag closes everything opened
     after its opening tag and is ignored without one; a new block ends an open paragraph. Comments, scripts and styles
     are gone, and so is all between the tags of a silent element; without an end tag only its own tag is.
     """
-    events, open_, kinds, pos = [], [], (), 0
-    begun, n_begun = [], Counter()  # silent elements: name, events before it, open blocks and their kinds
+    events, open_, blocks, pos = [], [], (), 0
+    begun, n_begun = [], Counter()  # silent elements: name, events before it, blocks open before it
     while pos < len(page):
         m = _TOKEN.match(page, pos)
         pos = m.end()
         text = m["text"]
         if text is not None:
-            events.append(("text", text, kinds))
+            events.append(("text", text, blocks, len(text.split())))
             continue
         name = m["name"]
         if name is None:
@@ -90,36 +101,41 @@ def read(page: str) -> list[tuple]:
                 silent = m["silent"].lower()
                 if not m["shut"]:
                     if not (m["tail"].endswith("/>") and (silent in FOREIGN or n_begun["svg"] or n_begun["math"])):
-                        begun.append((silent, len(events), list(open_), kinds))
+                        begun.append((silent, len(events), blocks))
                         n_begun[silent] += 1
                 elif n_begun[silent]:
                     passed = None
                     while passed != silent:
-                        passed, at, open_, kinds = begun.pop()
+                        passed, at, blocks = begun.pop()
                         n_begun[passed] -= 1
                     del events[at:]
+                    open_ = list(blocks)
             continue
-        name, outer = name.lower(), kinds
+        name, outer = name.lower(), blocks
         if name in BLOCKS and name not in VOID:
-            kinds = _move(open_, name, m)
-        events.append(("tag", name, kinds if m["close"] else outer))
+            blocks = _move(open_, name, m)
+        events.append(("tag", name, blocks if m["close"] else outer, 0))
+    for _, _, blocks, n in events:
+        if n:
+            for block in blocks:
+                block.words += n
     return events
 
 
-def _move(open_: list[tuple[str, str]], name: str, m: re.Match) -> tuple:
-    """Open or close an element; the kinds of the blocks that are open then."""
+def _move(open_: list[Block], name: str, m: re.Match) -> tuple:
+    """Open or close an element; the blocks that are open then."""
     if m["close"]:
-        at = next((i for i in reversed(range(len(open_))) if open_[i][0] == name), None)
+        at = next((i for i in reversed(range(len(open_))) if open_[i].name == name), None)
         if at is not None:
             del open_[at:]
     else:
-        if open_ and open_[-1][0] == "p":
+        if open_ and open_[-1].name == "p":
             open_.pop()
         if not m["rest"].endswith("/"):
-            label = _CLASS.search(m["rest"])
+            label = None if name in WHOLE else _CLASS.search(m["rest"])
             label = (label[1] or label[2] or label[3] or "").lower() if label else ""
-            open_.append((name, f"{name}.{label}" if label else name))
-    return tuple(k for _, k in open_)
+            open_.append(Block(name, tuple(f"{name}.{token}" for token in dict.fromkeys(label.split()))))
+    return tuple(open_)
 
 
 def count(pages: list[str]) -> Weights:
@@ -128,15 +144,14 @@ def count(pages: list[str]) -> Weights:
     read_pages = []
     for page in pages:
         events, truth = read(page), []
-        for what, value, kinds in events:
-            article = any(k.partition(".")[0] in ("article", "main") for k in kinds)
+        for what, value, blocks, n in events:
+            article = any(b.name in ("article", "main") for b in blocks)
             truth.append(article)
             if what == "tag":
                 tags[value] += 1
                 inside_tags[value] += article
             else:
-                n = len(value.split())
-                for k in set(kinds):
+                for k in {k for b in blocks for k in b.kinds or (b.name,)}:
                     words[k] += n
                     inside_words[k] += n * article
         read_pages.append((events, truth))
@@ -149,9 +164,8 @@ def count(pages: list[str]) -> Weights:
         tried, right, wrong = Weights(weights.words, weights.tags, penalty), 0, 0
         for events, truth in read_pages:
             first, end = best_region(events, tried)
-            for i, (what, value, _) in enumerate(events):
+            for i, (what, _, _, n) in enumerate(events):
                 if what == "text":
-                    n = len(value.split())
                     right += n * (truth[i] and first <= i < end)
                     wrong += n * (truth[i] != (first <= i < end))
         return 2 * right / max(1, 2 * right + wrong)
@@ -161,20 +175,45 @@ def count(pages: list[str]) -> Weights:
     return weights
 
 
-def word_weight(kinds: tuple, weights: Weights) -> float:
-    """The lowest share among the open elements, so that text in a menu inside an article is a menu's."""
-    return min((weights.words[k] if k in weights.words else _prior(k) for k in kinds), default=0.5)
+def counted(block: Block, weights: Weights) -> float | None:
+    """The lowest share among the counted kinds of an element; None if none was counted.
+
+    The name is the kind of an element without class, and stands in for unknown classes where it says enough.
+    """
+    if block.name in ("html", "body"):
+        return None
+    name = weights.words.get(block.name) if not block.kinds or block.name in BOILERPLATE else None
+    return min((weights.words[k] for k in block.kinds if k in weights.words), default=name)
+
+
+def word_weight(blocks: tuple, weights: Weights, page_words: int) -> float:
+    """The lowest share among the open elements, so that text in a menu inside an article is a menu's.
+
+    Names and class tokens never counted go by what they look like, unless the element holds most words of the page:
+    then it is a wrapper. ``html`` and ``body`` hold everything and say nothing.
+    """
+    low = 0.9 if blocks else 0.5
+    for block in blocks:
+        share = counted(block, weights)
+        if share is not None:
+            low = min(low, share)
+        if block.name not in WHOLE and 2 * block.words <= page_words:
+            low = min([low, *(_prior(k) for k in (block.name, *block.kinds) if k not in weights.words)])
+    return low
 
 
 def best_region(events: list[tuple], weights: Weights) -> tuple[int, int]:
     """First event and end of the region with the largest sum; the first of equals; empty without a word."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (what, value, kinds) in enumerate(events):
+    page_words = sum(n for *_, n in events)
+    known: dict[int, float] = {}  # by the tuple of open blocks, which events share
+    for i, (what, value, blocks, n) in enumerate(events):
         if what == "text":
-            n = len(value.split())
             if not n:
                 continue
-            total += n * word_weight(kinds, weights)
+            if id(blocks) not in known:
+                known[id(blocks)] = word_weight(blocks, weights, page_words)
+            total += n * known[id(blocks)]
         else:
             share = weights.tags[value] if value in weights.tags else _prior(value)
             total -= weights.penalty * (1 - share) + 0.001
@@ -188,17 +227,26 @@ def best_region(events: list[tuple], weights: Weights) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of the best region: character references decoded, one line per block, white space as one space.
 
-    Text in elements that almost never belong to articles is left out also inside the region.
+    Text in elements that by count almost never belong to articles is left out also inside the region, unless the
+    element holds the whole region: then the region scan has judged it.
     """
     events = read(page or "")
     first, end = best_region(events, weights)
+    worded = [blocks for _, _, blocks, n in events[first:end] if n]
+    around = set(worded[0]).intersection(worded[-1]) if worded else set()
+    left_out: dict[Block, bool] = {}
     lines, line = [], []
-    for what, value, kinds in events[first:end]:
+    for what, value, blocks, _ in events[first:end]:
         if what == "tag":
             if value in BLOCKS:
                 lines.append("".join(line))
                 line = []
-        elif word_weight(kinds, weights) >= 0.1 or not kinds:
+            continue
+        for block in blocks:
+            if block not in left_out:
+                share = None if block in around else counted(block, weights)
+                left_out[block] = share is not None and share < 0.1
+        if not any(left_out[block] for block in blocks):
             line.append(html.unescape(value))
     lines.append("".join(line))
     clean = (" ".join(text.split()) for text in lines)

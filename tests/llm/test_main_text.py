@@ -1,4 +1,4 @@
-"""Pages whose article was lost: elements without an end tag."""
+"""Pages whose article was lost: elements without an end tag, and classes that only look like boilerplate."""
 
 import pytest
 
@@ -44,3 +44,26 @@ def test_silent_content_is_left_out(name):
     if name in ("svg", "math", "template"):  # the others do not nest
         assert main_text(page, Weights()) == f"{TEXT}\n{TEXT}"
     assert main_text(page.replace(f"<{name}></{name}>", ""), Weights()) == f"{TEXT}\n{TEXT}"
+
+
+@pytest.mark.parametrize("weights", [Weights(), WEIGHTS])
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar single-post"><p>{}</p></body>',
+        '<article class="post-12 comments-open"><p>{}</p></article>',
+        '<body><div class="page-with-nav"><p>{}</p></div><div>Copyright</div></body>',
+    ],
+)
+def test_class_of_a_wrapper_drops_nothing(page, weights):
+    assert TEXT in main_text(page.format(ARTICLE), weights)
+
+
+def test_unseen_class_inside_the_region_stays():
+    page = f'<article><p>{ARTICLE}</p><div class="x share-price">{ARTICLE}</div><p>{ARTICLE}</p></article>'
+    assert main_text(page, WEIGHTS).count(TEXT) == 3
+
+
+def test_counted_class_token_is_left_out():
+    page = f'<article><p>{ARTICLE}</p><div class="ad box-7">buy now</div><p>{ARTICLE}</p></article>'
+    assert main_text(page, WEIGHTS) == f"{TEXT}\n{TEXT}"
