@@ -248,13 +248,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: its id, ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents are linked when 100 * intersection >= 75 * union of their sets of 5-word shingles; a component is what
-    links reach, named by its smallest id. Texts without words are linked with nothing. ``kept`` marks the rows whose
-    id is the component's. Repeated rows belong to one component and share ``kept``. A null id names a component only
-    if it has no other; such a row is then kept. Other columns are ignored; an empty table gives no rows.
+    links reach, named by its smallest id. Texts without words are linked with nothing. ``kept`` marks exactly one row of
+    every component, one with the smallest id, also among repeated rows. A null id names a component only if it has no
+    other. Other columns are ignored; an empty table gives no rows.
     """
+    return _judged(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _content(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``id``, ``content`` (a digest of the text), ``n``, ``component_id`` and ``kept``."""
     text = F.coalesce(text_col, F.lit(""))
     sketched, full_set = F.pandas_udf(sketch, SKETCH), F.pandas_udf(shingle_set, "array<long>")
-    content = F.unhex(F.sha2(text, 256))
+    content = _content(text)
     drawn = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), content.alias("content"), sketched(text).alias("s")
     )
@@ -294,21 +303,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirm(pairs, sets).unionByName(links)
     roots = stored(components(links), "roots")
 
-    members = worded.select("id", "row", "n", "set_digest").join(classes.select("set_digest", "node"), "set_digest")
-    placed = members.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
-    names = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = placed.join(names, "root").select("id", "n", "component_id")
-    blank = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    out = named.unionByName(blank)
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    members = worded.select("id", "row", "content", "n", "set_digest").join(classes.select("set_digest", "node"), "set_digest")
+    placed = members.join(roots, "node", "left").select("id", "row", "content", "n", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
+    names = placed.groupBy("root").agg(F.min(order).alias("f")).select("root", F.col("f.b").alias("component_id"), F.col("f.c").alias("first_row"))
+    named = placed.join(names, "root").select("id", "content", "n", "component_id", (F.col("row") == F.col("first_row")).alias("kept"))
+    blank = rows.filter("n = 0").select("id", "content", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return named.unionByName(blank)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, with all their columns."""
-    dropped = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stand for their group, with all their columns: one of each, and every one without words.
+
+    A row is found again by its id and text. Repeated rows (same id, same text) leave one if they stand for a group.
+    """
+    rows = _judged(docs, id_col, text_col).groupBy("id", "content").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n_rows"))
+    changed = stored(rows.filter("n_kept < n_rows").select(F.col("id").alias("_id"), F.col("content").alias("_of"), "n_kept"), "changed")
+    marked = docs.withColumn("_content", _content(F.coalesce(text_col, F.lit(""))))
+    same = (F.col("_content") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    out = marked.join(changed, same, "left_anti").select(*docs.columns)
+    repeated = changed.filter("n_kept > 0")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(marked.join(repeated, same).dropDuplicates(["_of", id_col]).select(*docs.columns))
 
 
 @registry.add(
