@@ -380,8 +380,8 @@ def _(t):
 @add("rag_context")
 def _(t):
     hits = r.hybrid_search(t.query_vectors, t.documents, t.doc_vectors, 5, min_score=0.4)
-    shown = r.search_with_excerpt(hits, t.documents.withColumn("key_passages", F.array().cast("array<string>")))
-    rows = pii.detect_pii(shown.withColumnRenamed("excerpt", "text"))
-    # one dictionary per question: the same value reads the same in all of its excerpts
+    # whole texts: evidence and personal data stand anywhere in a hit
+    rows = pii.detect_pii(hits.join(t.documents.select("doc_id", "text"), "doc_id"))
+    # one dictionary per question: the same value reads the same in all of its texts
     masked = pii.anonymize(rows, SECRET, F.col("query_id"))
     return masked.select("query_id", "rank", "doc_id", "score", F.col("anonymized").alias("context"), "token_count")
