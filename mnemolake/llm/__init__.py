@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "minhash_dedup", "language_id", "chunk_bpe", "html_main_text", "personal_data", "fingerprints", "url_filter", "feistel_shards",
-    "digest_index", "packing",
+    "digest_index", "packing", "importance_resampling", "repeated_passages", "embedding_whitening",
 )
 
 
