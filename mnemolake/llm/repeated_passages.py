@@ -7,8 +7,9 @@ the length of the longest match with any passage is kept (matching statistics, c
 passage of a smaller id, the words of the window are removed.
 
 * Finding the reference: the smallest hash of the 16-word runs of a window is its anchor. Equal windows have equal
-  anchors, and a text has one distinct anchor in about 18 words; only windows under an anchor of two documents are counted
-  as a whole (by 128-bit digests, with combined counts before the shuffle). Most texts drop out here.
+  anchors, and a text has one distinct anchor in about 18 words; only windows under an anchor of two different texts are
+  counted as a whole (by digests, combined before the shuffle). Most texts drop out here, and so do all copies of a text
+  but the first: they lose every window to it.
 * Sending: an automaton is not broadcast to every task, as the reference grows with the corpus. Documents go to the shards
   with whose passages they share an anchor that an earlier document has. A shard that many documents need is copied to
   many groups, each with a bounded share of the documents; a passage in a third of all rows is one passage of one shard.
@@ -143,42 +144,50 @@ class Automaton:
         return out
 
 
-def _anchored(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Numbered rows with their text, their place among the ids and their distinct anchors."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents with their place among the ids and a 128-bit digest (``h``, ``g``) of the text."""
+    text = F.coalesce(text_col, F.lit(""))
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    return docs.select(F.col(id_col).alias("id"), place.alias("place"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), text.alias("text"))
 
-    @F.pandas_udf("array<long>")
-    def anchors(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(window_anchors(word_hashes(words_of(t)), window)).view(np.int64) for t in texts], dtype=object)
 
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
-        F.col(text_col).alias("text"),
-        anchors(F.col(text_col)).alias("anchors"),
-    )
+def _classes(keyed: DataFrame, window: int) -> DataFrame:
+    """One row per different text: ``node``, first and last ``place``, number of words, distinct anchors."""
+
+    def anchors(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for words in map(words_of, texts):
+            rows.append((len(words), np.unique(window_anchors(word_hashes(words), window)).view(np.int64)))
+        return pd.DataFrame(rows, columns=["n_words", "anchors"])
+
+    read = F.pandas_udf(anchors, "n_words long, anchors array<long>")
+    rows = stored(keyed.select(F.monotonically_increasing_id().alias("node"), "place", "h", "g", read("text").alias("r")).select(
+        "node", "place", "h", "g", "r.*"
+    ), "anchored")
+    first = F.min_by(F.struct("node", "n_words", "anchors"), F.struct("place", "node")).alias("f")
+    return rows.groupBy("h", "g").agg(F.min("place").alias("place"), F.max("place").alias("last"), first).select("h", "g", "place", "last", "f.*")
 
 
 def _windows(suspects: DataFrame, window: int) -> DataFrame:
-    """(``row``, ``place``, ``x``, ``y``): digests of the windows under a shared anchor."""
+    """(``node``, ``place``, ``x``, ``anchor``): the windows under a shared anchor; (x, anchor) is their digest."""
 
-    @F.pandas_udf("x array<long>, y array<long>")
     def digests(texts: pd.Series, shared: pd.Series) -> pd.DataFrame:
         rows = []
         for text, anchors in zip(texts, shared):
             h = word_hashes(words_of(text))
-            under = np.isin(window_anchors(h, window), np.asarray(anchors, np.int64).view(np.uint64))
-            rows.append(tuple(run_hashes(h, window, seed)[under].view(np.int64) for seed in (2, 3)))
-        return pd.DataFrame(rows, columns=["x", "y"], dtype=object)
+            over = window_anchors(h, window)
+            under = np.isin(over, np.asarray(anchors, np.int64).view(np.uint64))
+            rows.append((run_hashes(h, window, 2)[under].view(np.int64), over[under].view(np.int64)))
+        return pd.DataFrame(rows, columns=["x", "anchor"], dtype=object)
 
-    drawn = suspects.select("row", "place", digests("text", "shared.anchor").alias("d"))
-    return drawn.select("row", "place", F.explode(F.arrays_zip("d.x", "d.y")).alias("w")).select("row", "place", "w.x", "w.y")
+    drawn = suspects.select("node", "place", F.pandas_udf(digests, "x array<long>, anchor array<long>")("text", "shared.anchor").alias("d"))
+    return drawn.select("node", "place", F.explode(F.arrays_zip("d.x", "d.anchor")).alias("w")).select("node", "place", "w.x", "w.anchor")
 
 
 def _passages(wanted: DataFrame, window: int) -> DataFrame:
     """Maximal runs of wanted windows as texts, with their anchors and ``home``, the first document of any of these.
 
-    ``wanted`` has (row, place, text, shared, xs); passages of copies and their variants share a home as a rule.
+    ``wanted`` has (node, place, text, shared, xs); passages of copies and their variants share a home as a rule.
     """
 
     @F.pandas_udf("array<struct<start: long, words: long, text: string, anchors: array<long>, home: long>>")
@@ -204,8 +213,8 @@ def _passages(wanted: DataFrame, window: int) -> DataFrame:
             out.append(rows)
         return pd.Series(out, dtype=object)
 
-    cuts = wanted.select("row", "place", F.explode(cut("text", "shared.anchor", "shared.first", "xs")).alias("p"))
-    return cuts.select("row", "place", "p.*")
+    cuts = wanted.select("node", "place", F.explode(cut("text", "shared.anchor", "shared.first", "xs")).alias("p"))
+    return cuts.select("node", "place", "p.*")
 
 
 def _sharded(passages: DataFrame) -> DataFrame:
@@ -213,7 +222,7 @@ def _sharded(passages: DataFrame) -> DataFrame:
     homes = passages.groupBy("home").agg(F.sum("words").alias("home_words"))
     shards = 1 + (passages.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS
     pieces = F.ceil(F.col("home_words") / SHARD_WORDS)
-    split = F.xxhash64("home", F.pmod(F.xxhash64("row", "start"), pieces))
+    split = F.xxhash64("home", F.pmod(F.xxhash64("node", "start"), pieces))
     small = F.pmod(F.xxhash64("home"), F.lit(shards))
     return passages.join(homes, "home").withColumn("shard", F.when(F.col("home_words") <= SHARD_WORDS, small).otherwise(split)).drop("home_words")
 
@@ -224,38 +233,46 @@ def _stream(window: int):
         is_reference = group["reference"].to_numpy()
         for place, text in zip(group["place"][is_reference].tolist(), group["text"][is_reference]):
             automaton.add(words_of(text), place)
-        for row, place, text in zip(*(group[c][~is_reference].tolist() for c in ("row", "place", "text"))):
-            rows += [(row, start, end) for start, end in automaton.spans(words_of(text), place, window)]
-        return pd.DataFrame(rows, columns=["row", "start", "end"], dtype="int64")
+        for node, place, text in zip(*(group[c][~is_reference].tolist() for c in ("node", "place", "text"))):
+            rows += [(node, start, end) for start, end in automaton.spans(words_of(text), place, window)]
+        return pd.DataFrame(rows, columns=["node", "start", "end"], dtype="int64")
 
     return stream
 
 
 def _matched(passages: DataFrame, suspects: DataFrame, window: int) -> DataFrame:
-    """(``row``, ``start``, ``end``): spans of words that a passage of a smaller id holds."""
+    """(``node``, ``start``, ``end``): spans of words that a passage of a smaller id holds."""
     held = passages.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    asked = suspects.select("row", "place", F.explode("shared").alias("s")).filter(F.col("s.first") < F.col("place"))
-    routes = asked.select("row", F.col("s.anchor").alias("anchor")).join(held, "anchor").select("row", "shard").distinct()
-    reading = stored(routes.join(suspects.select("row", "place", "text", "n_words"), "row"), "reading")
+    asked = suspects.select("node", "place", F.explode("shared").alias("s")).filter(F.col("s.first") < F.col("place"))
+    routes = asked.select("node", F.col("s.anchor").alias("anchor")).join(held, "anchor").select("node", "shard").distinct()
+    reading = stored(routes.join(suspects.select("node", "place", "text", "n_words"), "node"), "reading")
     loads = reading.groupBy("shard").agg(F.ceil(F.sum("n_words") / PART_WORDS).alias("parts"))
     copies = passages.join(loads, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = reading.join(loads, "shard").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    columns = ["shard", "part", "row", "place", "text"]
+    dealt = reading.join(loads, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    columns = ["shard", "part", "node", "place", "text"]
     both = copies.select(*columns, F.lit(True).alias("reference")).unionByName(dealt.select(*columns, F.lit(False).alias("reference")))
-    return both.groupBy("shard", "part").applyInPandas(_stream(window), "row long, start long, end long")
+    return both.groupBy("shard", "part").applyInPandas(_stream(window), "node long, start long, end long")
 
 
-def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """Number of words, number of removed ones and the text of the others."""
-    rows = []
-    for text, cut in zip(texts, spans):
-        words = words_of(text)
-        gone = np.zeros(len(words), bool)
-        for span in cut if cut is not None else ():
-            gone[span["start"] : span["end"]] = True
-        left = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if cut is not None else b" ".join(words)
-        rows.append((len(words), int(gone.sum()), left.decode("utf-8", "surrogatepass")))
-    return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+def _without(window: int):
+    def without(texts: pd.Series, copies: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        """Number of words, number of removed ones and the text of the others."""
+        rows = []
+        for text, copy, cut in zip(texts, copies, spans):
+            words = words_of(text)
+            if copy:
+                left = [] if len(words) >= window else words
+            elif cut is not None:
+                gone = np.zeros(len(words), bool)
+                for span in cut:
+                    gone[span["start"] : span["end"]] = True
+                left = [w for w, g in zip(words, gone.tolist()) if not g]
+            else:
+                left = words
+            rows.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+
+    return without
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,31 +284,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     words; texts shorter than a window lose nothing; very long texts are read whole. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    rows = stored(_anchored(docs, id_col, text_col, window), "anchored")
-    anchors = rows.select("row", "place", F.explode("anchors").alias("anchor"))
+    keyed = _keyed(docs, id_col, text_col)
+    classes = stored(_classes(keyed, window), "texts")
+    # anchors of different texts: the copies of a text lose all their windows to its first document, without being read
+    anchors = classes.select("node", "place", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
-    marks = anchors.join(shared, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "first")).alias("shared"))
-    without = F.pandas_udf(_without, "n_words long, n_removed long, kept string")
-    nothing = F.lit(None).cast("array<struct<start: long, end: long>>")
-    # texts without a shared anchor are done; the others keep their text
-    judged = rows.drop("anchors").join(marks, "row", "left").withColumn("done", without("text", nothing))
-    judged = stored(judged.select(
-        "row", "id", "place", "shared", F.col("done.n_words").alias("n_words"), F.when(F.col("shared").isNotNull(), F.col("text")).alias("text"),
-        F.when(F.col("shared").isNull(), F.col("done.kept")).alias("kept"),
-    ), "suspects")
-    suspects = judged.filter("shared IS NOT NULL")
+    marks = anchors.select("node", "anchor").join(shared, "anchor").groupBy("node").agg(F.collect_list(F.struct("anchor", "first")).alias("shared"))
+    marked = stored(marks.join(classes.drop("anchors", "last"), "node"), "marked")
+    texts = keyed.join(marked.select("node", "place", "h", "g"), ["place", "h", "g"]).dropDuplicates(["node"]).select("node", "text")
+    suspects = stored(texts.join(marked, "node"), "suspects")
 
     windows = _windows(suspects, window)
-    origin = F.min(F.struct("place", "row")).alias("f")
-    repeated = windows.groupBy("x", "y").agg(origin, F.max("place").alias("last")).filter("f.place < last")
-    per_row = repeated.groupBy(F.col("f.row").alias("row")).agg(F.collect_list("x").alias("xs"))  # the windows of one text at most
-    passages = stored(_passages(suspects.join(per_row, "row"), window), "passages")
+    origin = F.min(F.struct("place", "node")).alias("f")
+    repeated = windows.groupBy("x", "anchor").agg(origin, F.max("place").alias("last")).filter("f.place < last")
+    per_text = repeated.groupBy(F.col("f.node").alias("node")).agg(F.collect_list("x").alias("xs"))  # the windows of one text at most
+    passages = stored(_passages(suspects.join(per_text, "node"), window), "passages")
     spans = _matched(stored(_sharded(passages), "sharded"), suspects, window)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
-    cut = suspects.join(spans, "row", "left").withColumn("cut", without("text", "spans"))
-    out = cut.select("id", "cut.*").unionByName(judged.filter("shared IS NULL").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
+    lost = classes.select("node", "h", "g", F.col("place").alias("first"), "last").join(spans, "node", "left")
+    lost = stored(lost.filter("last > first OR spans IS NOT NULL").drop("node", "last"), "lost")
+    cut = F.pandas_udf(_without(window), "n_words long, n_removed long, kept string")
+    out = keyed.join(lost, ["h", "g"], "left").withColumn("copy", F.coalesce(F.col("place") > F.col("first"), F.lit(False)))
+    return out.select("id", cut("text", "copy", "spans").alias("c")).select(F.col("id").alias(id_col), "c.*")
 
 
 @registry.add(

@@ -141,7 +141,7 @@ def test_removed_passages(spark, small, monkeypatch):
         monkeypatch.setattr(repeated_passages, "SHARD_WORDS", 100)
         monkeypatch.setattr(repeated_passages, "PART_WORDS", 500)
     docs = hard_documents()
-    table = spark.createDataFrame([(i, t, "x", 1, None) for i, t in docs], "doc_id long, text string, row string, place int, shared string")
+    table = spark.createDataFrame([(i, t, "x", 1, None) for i, t in docs], "doc_id long, text string, node string, place int, shared string")
     out = repeated_passages.remove_repeats(table)
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept"]
     assert got_removed(out) == plain_removed(docs, 50)
