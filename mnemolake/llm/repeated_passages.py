@@ -23,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mnemolake.llm.feistel_shards import global_row_numbers
 from mnemolake.llm.shared import SPACE, Memo, Registry, stored, table
 
 registry = Registry()
@@ -152,7 +153,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(keyed: DataFrame, window: int) -> DataFrame:
-    """One row per different text: ``node``, first and last ``place``, number of words, distinct anchors."""
+    """One row per different text: first and last ``place``, number of words, distinct anchors, and ``node``, numbered by place."""
 
     def anchors(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -161,15 +162,14 @@ def _classes(keyed: DataFrame, window: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_words", "anchors"])
 
     read = F.pandas_udf(anchors, "n_words long, anchors array<long>")
-    rows = stored(keyed.select(F.monotonically_increasing_id().alias("node"), "place", "h", "g", read("text").alias("r")).select(
-        "node", "place", "h", "g", "r.*"
-    ), "anchored")
-    first = F.min_by(F.struct("node", "n_words", "anchors"), F.struct("place", "node")).alias("f")
-    return rows.groupBy("h", "g").agg(F.min("place").alias("place"), F.max("place").alias("last"), first).select("h", "g", "place", "last", "f.*")
+    rows = stored(keyed.select("place", "h", "g", read("text").alias("r")).select("place", "h", "g", "r.*"), "anchored")
+    first = F.first(F.struct("n_words", "anchors")).alias("f")  # equal in all copies
+    merged = rows.groupBy("h", "g").agg(F.min("place").alias("place"), F.max("place").alias("last"), first)
+    return global_row_numbers(merged.select("h", "g", "place", "last", "f.*"), ["place"], "node")[0]
 
 
 def _windows(suspects: DataFrame, window: int) -> DataFrame:
-    """(``node``, ``place``, ``x``, ``anchor``): the windows under a shared anchor; (x, anchor) is their digest."""
+    """(``node``, ``x``, ``y``): the windows under a shared anchor; (x, y), 96 bits, is their digest."""
 
     def digests(texts: pd.Series, shared: pd.Series) -> pd.DataFrame:
         rows = []
@@ -177,11 +177,11 @@ def _windows(suspects: DataFrame, window: int) -> DataFrame:
             h = word_hashes(words_of(text))
             over = window_anchors(h, window)
             under = np.isin(over, np.asarray(anchors, np.int64).view(np.uint64))
-            rows.append((run_hashes(h, window, 2)[under].view(np.int64), over[under].view(np.int64)))
-        return pd.DataFrame(rows, columns=["x", "anchor"], dtype=object)
+            rows.append((run_hashes(h, window, 2)[under].view(np.int64), over[under].astype(np.uint32).view(np.int32)))
+        return pd.DataFrame(rows, columns=["x", "y"], dtype=object)
 
-    drawn = suspects.select("node", "place", F.pandas_udf(digests, "x array<long>, anchor array<long>")("text", "shared.anchor").alias("d"))
-    return drawn.select("node", "place", F.explode(F.arrays_zip("d.x", "d.anchor")).alias("w")).select("node", "place", "w.x", "w.anchor")
+    drawn = suspects.select("node", F.pandas_udf(digests, "x array<long>, y array<int>")("text", "shared.anchor").alias("d"))
+    return drawn.select("node", F.explode(F.arrays_zip("d.x", "d.y")).alias("w")).select("node", "w.x", "w.y")
 
 
 def _passages(wanted: DataFrame, window: int) -> DataFrame:
@@ -291,13 +291,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     shared = anchors.groupBy("anchor").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
     marks = anchors.select("node", "anchor").join(shared, "anchor").groupBy("node").agg(F.collect_list(F.struct("anchor", "first")).alias("shared"))
     marked = stored(marks.join(classes.drop("anchors", "last"), "node"), "marked")
-    texts = keyed.join(marked.select("node", "place", "h", "g"), ["place", "h", "g"]).dropDuplicates(["node"]).select("node", "text")
+    # plain sort-merge joins at every size: neither side has a bound
+    texts = keyed.join(marked.select("node", "place", "h", "g").hint("merge"), ["place", "h", "g"]).dropDuplicates(["node"]).select("node", "text")
     suspects = stored(texts.join(marked, "node"), "suspects")
 
     windows = _windows(suspects, window)
-    origin = F.min(F.struct("place", "node")).alias("f")
-    repeated = windows.groupBy("x", "anchor").agg(origin, F.max("place").alias("last")).filter("f.place < last")
-    per_text = repeated.groupBy(F.col("f.node").alias("node")).agg(F.collect_list("x").alias("xs"))  # the windows of one text at most
+    # nodes are numbered by place: the smallest is the first text with the window
+    repeated = windows.groupBy("x", "y").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node < last")
+    per_text = repeated.groupBy("node").agg(F.collect_list("x").alias("xs"))  # the windows of one text at most
     passages = stored(_passages(suspects.join(per_text, "node"), window), "passages")
     spans = _matched(stored(_sharded(passages), "sharded"), suspects, window)
     spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -305,7 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     lost = classes.select("node", "h", "g", F.col("place").alias("first"), "last").join(spans, "node", "left")
     lost = stored(lost.filter("last > first OR spans IS NOT NULL").drop("node", "last"), "lost")
     cut = F.pandas_udf(_without(window), "n_words long, n_removed long, kept string")
-    out = keyed.join(lost, ["h", "g"], "left").withColumn("copy", F.coalesce(F.col("place") > F.col("first"), F.lit(False)))
+    out = keyed.join(lost.hint("merge"), ["h", "g"], "left").withColumn("copy", F.coalesce(F.col("place") > F.col("first"), F.lit(False)))
     return out.select("id", cut("text", "copy", "spans").alias("c")).select(F.col("id").alias(id_col), "c.*")
 
 
