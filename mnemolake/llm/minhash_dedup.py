@@ -270,18 +270,19 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = stored(drawn.select("id", "row", "content", "s.*"), "sketches")
     worded = rows.filter("n > 0")
     classes = stored(
-        worded.groupBy("set_digest").agg(F.min_by(F.struct("row", "n", "content", "signature"), "row").alias("r")).select(
-            "set_digest", F.col("r.row").alias("node"), "r.n", "r.content", "r.signature"
+        worded.groupBy("set_digest").agg(F.min_by(F.struct("row", "id", "n", "content", "signature"), "row").alias("r")).select(
+            "set_digest", F.col("r.row").alias("node"), "r.id", "r.n", "r.content", "r.signature"
         ),
         "classes",
     )
     postings = stored(posting_prefixes(classes), "postings")
     active = postings.select("node").distinct()
-    signatures = stored(classes.join(active, "node", "left_semi").select("node", "content", "signature"), "signatures")
-    # full sets only of documents that some other may resemble
-    wanted = docs.select(text.alias("t"), content.alias("content")).join(signatures.select("content"), "content", "left_semi")
-    one_each = wanted.join(signatures.select("content", "node"), "content")
-    sets = stored(one_each.select("node", full_set("t").alias("s")).dropDuplicates(["node"]), "sets")
+    signatures = stored(classes.join(active, "node", "left_semi").select("node", "id", "content", "signature"), "signatures")
+    # full sets only of documents that some other may resemble, of the class's own row: its copies stay where they are
+    texts = docs.select(F.col(id_col).alias("of"), text.alias("t"), content.alias("c"))
+    own = (F.col("c") == F.col("content")) & F.col("of").eqNullSafe(F.col("id"))
+    one_each = texts.join(signatures.select("node", "id", "content"), own).dropDuplicates(["node"])
+    sets = stored(one_each.select("node", full_set("t").alias("s")), "sets")
 
     links, roots = None, None
     for _ in range(STAR_ROUNDS):

@@ -10,14 +10,24 @@ from mnemolake.session import find_package, scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: remove the shuffle files of a query when it ends
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    Cuts the lineage, fixes values such as row numbers for good, and survives the loss of any executor.
+    Cuts the lineage, fixes values such as row numbers for good, and survives the loss of any executor. What was
+    shuffled for the table is removed at once instead of staying until the driver collects its garbage.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:
@@ -26,19 +36,26 @@ def let(value: Column, body) -> Column:
 
 
 class Memo(dict):
-    """A bounded cache: ``make(key)`` on a miss; everything is forgotten when ``limit`` keys are held.
+    """A bounded cache: ``make(key)`` on a miss; everything is forgotten when the limit is reached.
 
-    Only speed depends on the limit, never a result.
+    The limit is a number of keys or, with ``cost(key, value)``, a sum of costs, of which one entry may take a
+    thousandth; dearer ones are not kept. Only speed depends on the limit, never a result.
     """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int, cost=None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.cost, self.held = make, limit, cost, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.make(key)
+        spent = self.cost(key, value) if self.cost else 1
+        if self.cost and spent * 1000 > self.limit:
+            return value
+        if self.held + spent > self.limit:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self.held += spent
+        self[key] = value
         return value
 
 
