@@ -1,8 +1,9 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last characters says so, so equal passages of different documents give equal
-chunks wherever they stand. A chunk is encoded once and kept; what a cut may have torn apart is repaired by encoding
-the text around the join again, further and further until both sides agree with what encoding the whole text gives.
+chunks wherever they stand. A Python worker encodes a chunk once and keeps it for all documents of its tasks, within a
+bound of bytes; workers share nothing. What a cut may have torn apart is repaired by encoding the text around the join
+again, from the last place before it to the first place after it where both sides agree with the whole text.
 
 When do they agree? The byte-level pre-tokenizer reads from left to right and looks ahead only inside white space. A
 place between a character that is no white space and one that is, is therefore always a token boundary, and what
@@ -12,6 +13,7 @@ text before its first seam and after its last one as text; the join of two chunk
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from array import array
@@ -33,6 +35,9 @@ registry = Registry()
 
 WINDOW = 8  # characters that the rolling hash sees
 MEAN_CHUNK = 64  # a power of two: one place in so many is a cut
+# what a worker keeps at most, in bytes; a text without cuts is one chunk, too long to be kept
+PART_BYTES, CHUNK_BYTES = 48 << 20, 24 << 20
+ENTRY_BYTES = 200  # of an entry besides its characters and ids
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # from one seam to the next; characters that libraries class differently count as neither, so no seam stands beside them
 _UNSURE = "\\x1c-\\x1f\\u180e\\u200b\\ufeff"
@@ -68,8 +73,8 @@ class ChunkCodec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Memo(self._encode_part, 300_000)
-        self.chunks = Memo(self._encode_chunk, 40_000)
+        self.parts = Memo(self._encode_part, PART_BYTES, lambda part, ids: ENTRY_BYTES + len(part) + len(ids))
+        self.chunks = Memo(self._encode_chunk, CHUNK_BYTES, lambda chunk, known: 3 * ENTRY_BYTES + 2 * len(chunk) + (len(known[1]) if known else 0))
         # the same merges: the rank of a merge is the id of its token, and every token is what its own bytes merge to
         ranks = {t: i for t, i in byte_tokens(self.tokenizer).items() if t.decode("utf-8", "replace") not in self.specials}
         self.merger = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -150,14 +155,27 @@ def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFr
     return docs.withColumn("decoded", decoded(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Add ``coded``: the number of tokens of the whole text, and digests of its ids and of the text they decode to.
+
+    Encoding and decoding share one Python worker, and neither ids nor decoded texts leave it. Null counts as empty.
+    """
+
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec, tokens = chunk_codec(path), token_bytes(path)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                ids = np.frombuffer(codec.encode(text or ""), "<i4")
+                spelled, again = ",".join(map(str, ids.tolist())), decode(ids, tokens)
+                rows.append((len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(again.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    # the type hints of the function say which kind of UDF it is
+    return docs.withColumn("coded", F.pandas_udf(coded, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(text_col)))
+
+
 @registry.add("op3_chunk_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode_documents(encode_documents(docs, path).drop("text"), path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "coded.*")
