@@ -73,6 +73,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """All matches of a pattern that matches no empty text, as an array of (start, end, value); null texts have none."""
+    kind = "struct<pos:int,out:array<struct<start:int,end:int,value:string>>>"
+    pairs = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("before"), m.alias("m"))
+    )
+
+    def step(acc, x):
+        start = acc["pos"] + x["before"]
+        end = start + F.length(x["m"])
+        return F.struct(
+            end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))).alias("out")
+        ).cast(kind)
+
+    zero = F.struct(F.lit(0).alias("pos"), F.array().alias("out")).cast(kind)
+    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step)["out"]
+
+
 def query_terms(text: Column, stop_words=fixed.STOP_WORDS_REASONING) -> Column:
     """Distinct tokens of three or more characters that are no stop words, first seen first."""
     stop = F.array(*[F.lit(w) for w in sorted(stop_words)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from mnemolake.functions import fixed
-from mnemolake.functions.text import safe_concept_label, safe_entity_label
+from mnemolake.functions.text import match_spans, safe_concept_label, safe_entity_label
 from mnemolake.operators import consent, perturb, pii, retrieval as r, spans as sp
 from mnemolake.plans.enrichment import ascii_only, quoted
 from mnemolake.plans.retrieval import bm25_sql, topk
@@ -37,10 +37,6 @@ def detected(t):
     return pii.detect_pii(t.documents)
 
 
-def span_rows(t):
-    return pii.span_table(detected(t)).join(t.documents.select("doc_id", "source"), "doc_id")
-
-
 @add("detect_pii", f"WITH {SPANS} SELECT doc_id, pii_type, value, score, count(*) AS n FROM spans GROUP BY ALL")
 def _(t):
     return pii.span_table(detected(t)).groupBy("doc_id", "pii_type", "value", "score").agg(F.count("*").alias("n"))
@@ -93,6 +89,15 @@ def anonymize_sql(kinds=None) -> str:
         count(kind) AS token_count, array_to_string(list_sort(list_distinct(list(kind))), '|') AS types FROM kinds GROUP BY doc_id)"""
 
 
+# the spans that stay where matches overlap
+RESOLVED = f"{anonymize_sql()}, resolved AS (SELECT doc_id, source, kind AS pii_type, x AS value FROM kinds WHERE kind IS NOT NULL)"
+
+
+def resolved_rows(t):
+    rows = detected(t).withColumn("spans", pii.resolve_overlaps(F.col("spans")))
+    return rows.select("doc_id", "source", F.explode("spans").alias("s")).select("doc_id", "source", "s.*")
+
+
 @add("anonymize", f"WITH {anonymize_sql()} SELECT * FROM anon")
 def _(t):
     return anonymized(t).select("doc_id", "anonymized", "token_count", "types")
@@ -127,8 +132,8 @@ def _(t):
 
 @add(
     "build_token_dictionary",
-    f"""WITH {SPANS} SELECT source AS session_id, pii_type, {token_sql('source', 'pii_type', 'value')} AS token,
-    arg_min(value, doc_id) AS original, count(*) AS uses FROM spans GROUP BY 1, 2, 3""",
+    f"""WITH {RESOLVED} SELECT source AS session_id, pii_type, {token_sql('source', 'pii_type', 'value')} AS token,
+    arg_min(value, doc_id) AS original, count(*) AS uses FROM resolved GROUP BY 1, 2, 3""",
 )
 def _(t):
     return pii.build_token_dictionary(anonymized(t), SECRET, F.col("source"))
@@ -177,11 +182,11 @@ EXPOSED = ("EMAIL_ADDRESS",)
 
 @add(
     "pii_stats",
-    f"""WITH {SPANS} SELECT count(*) FILTER (pii_type <> 'EMAIL_ADDRESS') AS anonymized, count(*) FILTER (pii_type = 'EMAIL_ADDRESS') AS exposed,
-    array_to_string(list_sort(list_distinct(list(pii_type))), '|') AS types, 0 AS persons FROM spans""",
+    f"""WITH {RESOLVED} SELECT count(*) FILTER (pii_type <> 'EMAIL_ADDRESS') AS anonymized, count(*) FILTER (pii_type = 'EMAIL_ADDRESS') AS exposed,
+    array_to_string(list_sort(list_distinct(list(pii_type))), '|') AS types, 0 AS persons FROM resolved""",
 )
 def _(t):
-    return pii.pii_stats(consent.pii_decision(pii.span_table(detected(t)), EXPOSED))
+    return pii.pii_stats(consent.pii_decision(resolved_rows(t), EXPOSED))
 
 
 EPS = "CASE pii_type " + " ".join(f"WHEN '{k}' THEN {fixed.EPSILON_PRESETS['default'][v]}" for k, v in fixed.PII_SENSITIVITY.items()) + " ELSE 1.0 END::DOUBLE"
@@ -193,9 +198,9 @@ def _(t):
     return perturb.epsilon_lookup(pii.span_table(detected(t)).select("pii_type").distinct())
 
 
-@add("privacy_budget", f"WITH {SPANS} SELECT source, round(sum({EPS}), 6) AS total_epsilon, count(*) AS perturbations FROM spans GROUP BY source")
+@add("privacy_budget", f"WITH {RESOLVED} SELECT source, round(sum({EPS}), 6) AS total_epsilon, count(*) AS perturbations FROM resolved GROUP BY source")
 def _(t):
-    return perturb.privacy_budget(span_rows(t), "source")
+    return perturb.privacy_budget(resolved_rows(t), "source")
 
 
 DIGITS = f"""dv AS (SELECT DISTINCT pii_type, value FROM spans WHERE pii_type IN ('PHONE_NUMBER', 'CREDIT_CARD', 'IP_ADDRESS')),
@@ -295,20 +300,25 @@ def _(t):
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
+def mails_sql(source: str, keys: str, text: str) -> str:
+    """All addresses of a text with their places: the pieces between them and themselves, added up."""
+    return f"""pieces AS (SELECT {keys}, {text}, string_split(regexp_replace({text}, '{EMAIL}', chr(9246), 'g'), chr(9246)) AS p,
+        regexp_extract_all({text}, '{EMAIL}') AS m FROM {source}),
+    places AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM pieces),
+    mails AS (SELECT *, length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS a,
+        length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i], '')) AS b FROM places)"""
+
+
 @add(
     "spans_to_time",
-    rf"""WITH s AS (SELECT doc_id, instr(text, e) - 1 AS a, instr(text, e) - 1 + length(e) AS b FROM (SELECT doc_id, text, regexp_extract(text, '{EMAIL}') AS e FROM documents) WHERE e <> ''),
+    rf"""WITH {mails_sql('documents', 'doc_id', 'text')}, s AS (SELECT doc_id, i - 1 AS span_id, a, b FROM mails),
     w0 AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
     w AS (SELECT doc_id, pos, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cs, length(w) AS n FROM w0)
-    SELECT s.doc_id, 0 AS span_id, round(min(pos * 0.4::DOUBLE), 6) AS start_time, round(max(pos * 0.4::DOUBLE + 0.4::DOUBLE), 6) AS end_time, count(DISTINCT cs) AS words
-    FROM s JOIN w ON w.doc_id = s.doc_id AND cs < b AND cs + n > a GROUP BY s.doc_id""",
+    SELECT s.doc_id, span_id, round(min(pos * 0.4::DOUBLE), 6) AS start_time, round(max(pos * 0.4::DOUBLE + 0.4::DOUBLE), 6) AS end_time, count(DISTINCT cs) AS words
+    FROM s JOIN w ON w.doc_id = s.doc_id AND cs < b AND cs + n > a GROUP BY s.doc_id, span_id""",
 )
 def _(t):
-    mail = F.regexp_extract("text", EMAIL, 0)
-    at = F.position(F.col("e"), F.col("text")) - 1
-    found = t.documents.select("doc_id", "text", mail.alias("e")).filter("e <> ''").select(
-        "doc_id", F.lit(0).alias("span_id"), at.alias("start"), (at + F.length("e")).alias("end")
-    )
+    found = t.documents.select("doc_id", F.posexplode(match_spans(F.col("text"), EMAIL)).alias("span_id", "s")).select("doc_id", "span_id", "s.start", "s.end")
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     split = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     words = split.withColumn("char_start", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0))).select(
@@ -329,18 +339,16 @@ def _(t):
 @add(
     "spans_to_boxes",
     rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
-    s AS (SELECT doc_id, n, line, regexp_extract(line, '{EMAIL}') AS e FROM l),
-    b AS (SELECT doc_id, n, 40 AS x, n * 14 AS y, 7 * length(line) + 3 AS w, instr(line, e) - 1 AS a, instr(line, e) - 1 + length(e) AS z, length(line) AS k FROM s WHERE e <> ''),
+    {mails_sql('l', 'doc_id, n', 'line')},
+    b AS (SELECT doc_id, n, 40 AS x, n * 14 AS y, 7 * length(line) + 3 AS w, a, b AS z, length(line) AS k FROM mails),
     c AS (SELECT *, greatest(x, x + floor(w * a / k) - floor(w / k * 0.3)) AS px FROM b)
     SELECT doc_id, n AS line_no, px::BIGINT AS box_x, y AS box_y, (least(x + w, px + floor(w * ((z - a) / k)) + 2 * floor(w / k * 0.3)) - px)::BIGINT AS box_width, 12 AS box_height FROM c""",
 )
 def _(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    mail = F.regexp_extract("text", EMAIL, 0)
-    at = F.position(F.col("e"), F.col("text")) - 1
-    rows = lines.withColumn("e", mail).filter("e <> ''").select(
+    rows = lines.withColumn("s", F.explode(match_spans(F.col("text"), EMAIL))).select(
         "doc_id", "line_no", "text", F.lit(40).alias("x"), (F.col("line_no") * 14).alias("y"), (F.length("text") * 7 + 3).alias("width"),
-        F.lit(12).alias("height"), at.alias("start"), (at + F.length("e")).alias("end"),
+        F.lit(12).alias("height"), "s.start", "s.end",
     )
     return sp.spans_to_boxes(rows).drop("start", "end")
 
