@@ -11,6 +11,7 @@ from mnemolake.functions import fixed
 from mnemolake.functions.text import SPACE, collapse_ws, glob_to_regex, let, query_terms, tokens
 from mnemolake.functions.vectors import best_matches
 from mnemolake.operators.common import bounded_rows, first_per, top_k
+from mnemolake.operators.text_index import TextIndex, build_index, search_index
 
 def by_score() -> list[Column]:
     return [F.desc("score"), F.asc("doc_id")]
@@ -67,10 +68,14 @@ def bm25_scores(
     )
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 10, min_score: float = 0.0, **kw) -> DataFrame:
-    """Best ``k`` documents per query by BM25: (query_id, doc_id, score, rank)."""
-    scored = bm25_scores(queries, docs, **kw).filter(F.col("score") >= min_score)
-    return top_k(scored, ["query_id"], by_score(), k)
+def bm25_search(
+    queries: DataFrame, docs: DataFrame, k: int = 10, min_score: float = 0.0, index: TextIndex | None = None, among: DataFrame | None = None, **kw
+) -> DataFrame:
+    """Best ``k`` documents per query by BM25: (query_id, doc_id, score, rank).
+
+    Searches a stored index of ``docs``; without one it is built first. ``among`` (doc_id) restricts the hits before the cut.
+    """
+    return search_index(index or build_index(docs), queries, k, min_score, among, **kw)
 
 
 # --- vectors -------------------------------------------------------------------------------------
@@ -247,9 +252,7 @@ def topic_search(queries: DataFrame, docs: DataFrame, topic: str, k: int = 10, o
     without any hit of the topic then keeps its unfiltered hits.
     """
     if overfetch is None:
-        tagged = docs.select("doc_id", F.coalesce(has_topic(topic), F.lit(False)).alias("_in"))
-        scored = bm25_scores(queries, docs).join(tagged.filter("_in"), "doc_id").drop("_in")
-        return top_k(scored, ["query_id"], by_score(), k)
+        return bm25_search(queries, docs, k, among=docs.filter(has_topic(topic)))
     broad = bm25_search(queries, docs, overfetch * k).drop("rank")
     tagged = docs.select("doc_id", F.coalesce(has_topic(topic), F.lit(False)).alias("_in"))
     marked = broad.join(tagged, "doc_id")
@@ -261,8 +264,7 @@ def topic_search(queries: DataFrame, docs: DataFrame, topic: str, k: int = 10, o
 def source_scoped_search(queries: DataFrame, docs: DataFrame, connector: str, mapped: str, k: int = 10) -> DataFrame:
     """Hits that belong to a connector, or come from its source and name no connector."""
     wanted = (F.col("connector_id") == connector) | ((F.col("source") == mapped) & F.col("connector_id").isNull())
-    ids = docs.filter(wanted).select("doc_id")
-    return top_k(bm25_scores(queries, docs).join(ids, "doc_id", "left_semi"), ["query_id"], by_score(), k)
+    return bm25_search(queries, docs, k, among=docs.filter(wanted))
 
 
 def multilevel_search(
@@ -278,8 +280,7 @@ def multilevel_search(
         )
     )
     units = units.filter(F.col("level").isin(*levels))
-    scored = bm25_scores(queries, units.select(F.col("unit_id").alias("doc_id"), "text"))
-    best = top_k(scored, ["query_id"], by_score(), k).withColumnRenamed("doc_id", "unit_id")
+    best = bm25_search(queries, units.select(F.col("unit_id").alias("doc_id"), "text"), k).withColumnRenamed("doc_id", "unit_id")
     return best.join(units.select("unit_id", "parent_id", "level"), "unit_id")
 
 
