@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.dates import relative_days
-from mnemolake.operators.common import top_k
+from mnemolake.operators.retrieval import bm25_search
 
 
 def categories(topics: Column) -> Column:
@@ -121,11 +121,14 @@ def preset_reach(docs: DataFrame, as_of: str) -> DataFrame:
     return each.groupBy("p.preset", "p.exposed_pii_types").agg(F.sum("p.ok").alias("kept"), F.count("*").alias("total"))
 
 
-def consented_search(hits: DataFrame, staged: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Cut over-fetched hits to the best ``k`` allowed ones; also the filter counts per query."""
-    tagged = hits.drop("rank").join(staged.select("doc_id", "stage"), "doc_id")
-    kept = top_k(tagged.filter(F.col("stage") == "kept").drop("stage"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return kept, tagged.groupBy("query_id", "stage").agg(F.count("*").alias("n"))
+def consented_search(queries: DataFrame, docs: DataFrame, staged: DataFrame, k: int = 10, **kw) -> DataFrame:
+    """Best ``k`` allowed documents per query: consent comes before the cut, so blocked hits cost a query nothing."""
+    return bm25_search(queries, docs, k, among=staged.filter(F.col("stage") == "kept"), **kw)
+
+
+def held_back(hits: DataFrame, staged: DataFrame) -> DataFrame:
+    """Of the given hits of every query, how many each rule holds back, and how many are allowed."""
+    return hits.join(staged.select("doc_id", "stage"), "doc_id").groupBy("query_id", "stage").agg(F.count("*").alias("n"))
 
 
 def name_matches(value: Column, entity: tuple) -> Column:

@@ -9,6 +9,7 @@ from mnemolake.functions.dates import iso
 from mnemolake.functions.hashing import short_hash
 from mnemolake.functions.text import collapse_ws, preview, strip
 from mnemolake.operators.common import bucketed_row_number, first_per, top_k
+from mnemolake.operators.retrieval import bm25_search
 
 KEY = ["workspace", "memory_key"]
 
@@ -126,9 +127,16 @@ def memory_filter(
     return rows if include_expired else rows.filter(~F.col("expired"))
 
 
-def memory_search(memories: DataFrame, as_of: str, limit: int = 20, hits: DataFrame | None = None, **filters) -> DataFrame:
-    """First ``limit`` governed records, newest first; with ``hits`` (query_id, doc_id, score) per query by score."""
+def memory_search(
+    memories: DataFrame, as_of: str, limit: int = 20, hits: DataFrame | None = None, queries: DataFrame | None = None, **filters
+) -> DataFrame:
+    """First ``limit`` governed records, newest first; with ``queries`` the best governed records of each by keywords.
+
+    ``hits`` (query_id, doc_id, score) takes the scores of another search; records it does not hold are not found.
+    """
     rows = memory_filter(memories, as_of, **filters).withColumn("content_preview", preview(F.col("content"), 500))
+    if queries is not None:
+        hits = bm25_search(queries, memories.select("doc_id", F.col("content").alias("text")), limit, among=rows)
     if hits is None:
         return rows.orderBy(F.desc("created_at"), F.asc("doc_id")).limit(limit)
     found = rows.join(hits.select("query_id", "doc_id", "score"), "doc_id")
@@ -278,20 +286,21 @@ def workspace_counts(memories: DataFrame) -> DataFrame:
 
 
 def actor_activity(
-    memories: DataFrame, workspace: str | None = None, actor: str | None = None, limit: int = 50
+    memories: DataFrame, workspace: str | None = None, actor: str | None = None, limit: int | None = 50
 ) -> DataFrame:
-    """Newest audit events, bounded."""
+    """Audit events, the newest ``limit`` in order, or all of them."""
     rows = memories
     if workspace:
         rows = rows.filter(F.col("workspace") == workspace)
     if actor:
         rows = rows.filter(F.col("actor") == actor)
     order = [F.desc("created_at"), F.desc("version"), F.asc("doc_id")]
-    return rows.select("doc_id", "actor", *KEY, "version", "state", "kind", "created_at").orderBy(*order).limit(limit)
+    rows = rows.select("doc_id", "actor", *KEY, "version", "state", "kind", "created_at")
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def activity_summary(activity: DataFrame) -> DataFrame:
-    """Counts within the bounded list."""
+    """Counts of the given events."""
     return activity.agg(
         F.count("*").alias("event_count"),
         F.count_distinct("actor").alias("actor_count"),

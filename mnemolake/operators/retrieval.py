@@ -245,20 +245,14 @@ def has_topic(topic: str) -> Column:
     return F.exists("topics", lambda t: F.lower(t) == topic.lower())
 
 
-def topic_search(queries: DataFrame, docs: DataFrame, topic: str, k: int = 10, overfetch: int | None = None) -> DataFrame:
-    """Keyword search among documents of a topic.
-
-    With ``overfetch`` the filter runs after the best ``overfetch * k`` hits of the whole corpus; a query
-    without any hit of the topic then keeps its unfiltered hits.
-    """
-    if overfetch is None:
-        return bm25_search(queries, docs, k, among=docs.filter(has_topic(topic)))
-    broad = bm25_search(queries, docs, overfetch * k).drop("rank")
-    tagged = docs.select("doc_id", F.coalesce(has_topic(topic), F.lit(False)).alias("_in"))
-    marked = broad.join(tagged, "doc_id")
-    some = marked.groupBy("query_id").agg(F.bool_or("_in").alias("_some"))
-    kept = marked.join(some, "query_id").filter(F.col("_in") | ~F.col("_some")).drop("_in", "_some")
-    return top_k(kept, ["query_id"], by_score(), k)
+def topic_search(queries: DataFrame, docs: DataFrame, topic: str, k: int = 10, fallback: bool = False) -> DataFrame:
+    """Keyword search among documents of a topic. With ``fallback`` a query without any such hit searches all documents."""
+    index = build_index(docs)
+    found = bm25_search(queries, docs, k, index=index, among=docs.filter(has_topic(topic)))
+    if not fallback:
+        return found
+    missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(bm25_search(missed, docs, k, index=index))
 
 
 def source_scoped_search(queries: DataFrame, docs: DataFrame, connector: str, mapped: str, k: int = 10) -> DataFrame:

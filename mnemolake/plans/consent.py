@@ -109,12 +109,12 @@ def _(t):
     "consented_search",
     sql(
         "queries_v docs_v",
-        f"""{bm25_sql()}, {STAGE}, ok AS (SELECT query_id, doc_id, b.score FROM ({topk('bm', 30)}) b JOIN stg USING (doc_id) WHERE stage = 'kept')
+        f"""{bm25_sql()}, {STAGE}, ok AS (SELECT query_id, doc_id, bm.score FROM bm JOIN stg USING (doc_id) WHERE stage = 'kept')
         SELECT query_id, doc_id, score, rank FROM ({topk('ok', 10)})""",
     ),
 )
 def _(t):
-    return c.consented_search(bm25_search(t.queries, t.documents, 30), staged(t))[0]
+    return c.consented_search(t.queries, t.documents, staged(t))
 
 
 @add(
@@ -125,7 +125,7 @@ def _(t):
     ),
 )
 def _(t):
-    return c.consented_search(bm25_search(t.queries, t.documents, 30), staged(t))[1]
+    return c.held_back(bm25_search(t.queries, t.documents, 30), staged(t))
 
 
 @add(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemolake.operators import identity, memory as m
-from mnemolake.operators.retrieval import bm25_search
 from mnemolake.plans.retrieval import bm25_sql, topk
 from mnemolake.plans.views import Registry, sql
 
@@ -94,15 +93,14 @@ def _(t):
     "memory_search_ranked",
     sql(
         "queries_v memory_v",
-        f"""mem AS (SELECT doc_id, content AS text FROM memory_v), {bm25_sql('mem')}, broad AS ({topk('bm', 100)}),
-        ok AS (SELECT query_id, doc_id, broad.score FROM broad JOIN memory_v USING (doc_id)
+        f"""mem AS (SELECT doc_id, content AS text FROM memory_v), {bm25_sql('mem')},
+        ok AS (SELECT query_id, doc_id, bm.score FROM bm JOIN memory_v USING (doc_id)
             WHERE state = 'accepted' AND NOT {EXPIRED})
         SELECT query_id, doc_id, score, rank FROM ({topk('ok', 20)})""",
     ),
 )
 def _(t):
-    hits = bm25_search(t.queries, t.memories.select("doc_id", F.col("content").alias("text")), 100)
-    return m.memory_search(t.memories, AS_OF, 20, hits.drop("rank")).select("query_id", "doc_id", "score", "rank")
+    return m.memory_search(t.memories, AS_OF, 20, queries=t.queries).select("query_id", "doc_id", "score", "rank")
 
 
 CURRENT = f"""cur AS (SELECT * FROM memory_v QUALIFY row_number() OVER (PARTITION BY workspace, memory_key ORDER BY
@@ -231,13 +229,13 @@ def _(t):
     "actor_activity_summary",
     sql(
         "memory_v",
-        f"""{ACTIVITY} SELECT count(*) AS event_count, count(DISTINCT actor) AS actor_count,
+        f"""SELECT count(*) AS event_count, count(DISTINCT actor) AS actor_count,
         count(DISTINCT memory_key) AS memory_count, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS oldest_event_at,
-        strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest_event_at FROM act""",
+        strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest_event_at FROM memory_v WHERE actor = 'user'""",
     ),
 )
 def _(t):
-    return m.activity_summary(m.actor_activity(t.memories, actor="user"))
+    return m.activity_summary(m.actor_activity(t.memories, actor="user", limit=None))
 
 
 @add(

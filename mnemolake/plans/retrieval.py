@@ -110,15 +110,14 @@ def _(t):
     "topic_search_overfetch",
     sql(
         "queries_v docs_v",
-        f"""{bm25_sql()}, broad AS (SELECT query_id, doc_id, score FROM ({topk('bm', 30)})),
-        m AS (SELECT b.*, list_contains(topics, 'fr') AS hit FROM broad b JOIN docs_v USING (doc_id)),
+        f"""{bm25_sql()}, m AS (SELECT bm.*, list_contains(topics, 'fr') AS hit FROM bm JOIN docs_v USING (doc_id)),
         kept AS (SELECT query_id, doc_id, score FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM m)
             WHERE hit OR NOT any_hit)
         SELECT query_id, doc_id, score, rank FROM ({topk('kept', 10)})""",
     ),
 )
 def _(t):
-    return r.topic_search(t.queries, t.docs, "fr", overfetch=3)
+    return r.topic_search(t.queries, t.docs, "fr", fallback=True)
 
 
 # stored key passages and entities of a document, the same simple rule on both engines
