@@ -54,7 +54,7 @@ def _odd_numbers(n: int, seed: int) -> np.ndarray:
 
 _PLACES = _odd_numbers(WORDS, 1)
 _MULTIPLIERS, _OFFSETS = _odd_numbers(LONG, 2), _odd_numbers(LONG, 3)
-_WORD_HASH = Memo(xxhash.xxh64_intdigest, 500_000)
+_WORD_HASH = Memo(xxhash.xxh64_intdigest, 150_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ class WordEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = {t: i for t, i in byte_tokens(self.tokenizer, "</w>", MARK.encode()).items() if t.decode("utf-8", "replace") not in self.specials}
         self.merger = tiktoken.Encoding("words", pat_str=f"[^{MARK}]*{MARK}", mergeable_ranks=ranks, special_tokens={})
-        self.memo = Memo(self._make, 800_000)
+        self.memo = Memo(self._make, 300_000)
 
     def _make(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and not any(t in word for t in self.specials):

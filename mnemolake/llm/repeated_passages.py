@@ -35,7 +35,7 @@ SHARD_WORDS = 50_000  # reference words of an automaton
 PART_WORDS = 500_000  # document words that stream through one copy of an automaton
 LAST = (1 << 63) - 1  # the place of documents without id: after all others
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WORD_HASH = Memo(xxhash.xxh64_intdigest, 300_000)
+_WORD_HASH = Memo(xxhash.xxh64_intdigest, 150_000)
 
 
 def words_of(text: str | None) -> list[bytes]:
