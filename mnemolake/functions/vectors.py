@@ -24,44 +24,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
+def list_matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix of doubles."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def best_rows(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, min_score: float,
+    other: bool = False, strip: int = 512,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, score) of the best ``k`` rows for every query; ``other`` leaves out rows with the query's id.
+
+    Scores are products rounded to six digits before ranking, so that equal vectors tie exactly; ties go to
+    the smaller id. ``strip`` queries are scored at a time.
+    """
+    lefts, rights, scores = [], [], []
+    for start in range(0, len(query_ids) if len(ids) else 0, strip):
+        strip_ids = query_ids[start : start + strip]
+        products = np.round(queries[start : start + strip] @ rows.T, 6) + 0.0
+        if other:
+            products[strip_ids[:, None] == ids[None, :]] = -np.inf
+        for q, line in zip(strip_ids, products):
+            floor = max(min_score, -np.partition(-line, k - 1)[k - 1]) if len(line) > k else min_score
+            hits = np.flatnonzero((line >= floor) & (line > -np.inf))
+            hits = hits[np.lexsort((ids[hits], -line[hits]))][:k]
+            lefts.append(np.full(len(hits), q))
+            rights.append(ids[hits])
+            scores.append(line[hits])
+    if not lefts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(lefts), np.concatenate(rights), np.concatenate(scores)
+
+
 def best_matches(corpus: DataFrame, query_rows: list, k: int, min_score: float) -> DataFrame:
     """Per Arrow batch the best ``k`` rows for every query: at most k rows per query and batch leave a task.
 
     ``corpus`` has (doc_id, embedding); ``query_rows`` is a bounded list of (query_id, embedding).
-    Scores are rounded to six digits before ranking so that equal vectors tie exactly; ties go to the
-    smaller id.
     """
     query_ids = np.array([r["query_id"] for r in query_rows], dtype=np.int64)
-    queries = _unit_rows(np.array([r["embedding"] for r in query_rows], dtype=np.float64))
+    queries = unit_rows(np.array([r["embedding"] for r in query_rows], dtype=np.float64))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("doc_id").to_numpy()
-            vectors = batch.column("embedding")
-            matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            scores = np.round(_unit_rows(matrix.astype(np.float64)) @ queries.T, 6) + 0.0
-            rows, cols = [], []
-            for q in range(len(query_ids)):
-                column = scores[:, q]
-                if len(column) > k:
-                    floor = -np.partition(-column, k - 1)[k - 1]
-                    hits = np.flatnonzero(column >= max(floor, min_score))
-                else:
-                    hits = np.flatnonzero(column >= min_score)
-                hits = hits[np.lexsort((ids[hits], -column[hits]))][:k]
-                rows.append(hits)
-                cols.append(np.full(len(hits), q))
-            r, c = np.concatenate(rows), np.concatenate(cols)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[c]), pa.array(ids[r]), pa.array(scores[r, c])],
-                names=["query_id", "doc_id", "score"],
-            )
+            vectors = unit_rows(list_matrix(batch.column("embedding")))
+            found = best_rows(query_ids, queries, batch.column("doc_id").to_numpy(), vectors, k, min_score)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["query_id", "doc_id", "score"])
 
     return corpus.select("doc_id", "embedding").mapInArrow(score, "query_id long, doc_id long, score double")

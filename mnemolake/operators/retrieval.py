@@ -12,6 +12,9 @@ from mnemolake.functions.text import SPACE, collapse_ws, glob_to_regex, let, que
 from mnemolake.functions.vectors import best_matches
 from mnemolake.operators.common import bounded_rows, first_per, top_k
 from mnemolake.operators.text_index import TextIndex, build_index, search_index
+from mnemolake.operators.vector_index import (
+    BLOCK, all_neighbours, build_vector_index, choose_probes, grid_search, search_vector_index,
+)
 
 def by_score() -> list[Column]:
     return [F.desc("score"), F.asc("doc_id")]
@@ -87,55 +90,30 @@ def vector_search(
 ) -> DataFrame:
     """Best ``k`` vectors per query by cosine, exact.
 
-    Query vectors travel to the tasks in blocks of bounded size, one pass over the corpus per block, so
-    any number of queries works; only k rows per query and batch are shuffled.
+    At most ``block`` queries travel to the tasks and take one pass over the corpus without shuffling it;
+    more of them meet the corpus in a grid of blocks. Only k rows per query and block are shuffled.
     """
-    rows = bounded_rows(queries.select("query_id", "embedding"), block)
-    if rows is not None:
-        passes = [rows] if rows else []
-    else:
-        n = queries.count()
-        blocks = -(-n // block) * 2  # hashed blocks stay below the bound with room to spare
-        passes = []
-        for i in range(blocks):
-            part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "embedding")
-            passes.append(part.collect())
-    if not any(passes):
-        spark = corpus.sparkSession
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    found = [best_matches(corpus, p, k, min_score) for p in passes if p]
-    return top_k(reduce(DataFrame.unionByName, found), ["query_id"], by_score(), k)
+    rows = bounded_rows(queries.select("query_id", "embedding").filter("embedding IS NOT NULL"), block)
+    if rows is None:
+        return grid_search(queries, corpus, k, min_score, block)
+    if not rows:
+        return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    found = best_matches(corpus.filter("embedding IS NOT NULL"), rows, k, min_score)
+    return top_k(found, ["query_id"], by_score(), k)
 
 
 def ann_vector_search(
-    queries: DataFrame, corpus: DataFrame, k: int = 10, bucket_length: float = 1.0, tables: int = 4, seed: int = 7
+    queries: DataFrame, corpus: DataFrame, k: int = 10, target: float = 0.95, path: str | None = None
 ) -> DataFrame:
-    """Approximate search: hashed buckets give candidates, exact cosine ranks them.
+    """Approximate search through an index stored for this call.
 
-    A bucket that holds many documents is only ever joined with queries, never with itself.
+    The number of cells read per query is the fewest that hold ``target`` of the exact results of sampled
+    queries. Callers with several query tables build the index once and use ``search_vector_index``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from mnemolake.session import scratch_path
 
-    from mnemolake.functions.vectors import cosine
-
-    as_vec = lambda df, key: df.select(key, "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(as_vec(corpus, "doc_id"))
-
-    def buckets(df: DataFrame, key: str) -> DataFrame:
-        hashed = model.transform(as_vec(df, key))
-        return hashed.select(key, "embedding", F.posexplode("h").alias("tab", "hv")).select(
-            key, "embedding", "tab", F.hash(F.col("hv").cast("string")).alias("bucket")
-        )
-
-    q = buckets(queries, "query_id").withColumnRenamed("embedding", "q_embedding")
-    pairs = buckets(corpus, "doc_id").join(q, ["tab", "bucket"])
-    scored = pairs.select(
-        "query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("q_embedding")), 6).alias("score")
-    ).distinct()
-    return top_k(scored, ["query_id"], by_score(), k)
+    index = build_vector_index(corpus, path or scratch_path(corpus.sparkSession, "vectors"))
+    return search_vector_index(index, queries, k, choose_probes(index, queries, k, target))
 
 
 # --- fusion ----------------------------------------------------------------------------------------
@@ -440,16 +418,9 @@ def best_excerpt(pairs: DataFrame, window: int = 650, lead: int = 160, anchors:
 
 
 # --- similarity graph ----------------------------------------------------------------------------------
-def similarity_graph(vectors: DataFrame, min_score: float = 0.7, degree: int = 15, block: int = 4096) -> DataFrame:
-    """Edges between a vector and its nearest others with cosine of at least ``min_score``.
-
-    Every vector asks for its best ``degree`` neighbours through ``vector_search`` in bounded blocks;
-    pairs are scored as matrix products inside tasks and never materialised.
-    """
-    asked = vectors.select(F.col("doc_id").alias("query_id"), "embedding")
-    near = vector_search(asked, vectors, degree + 1, min_score, block).filter(F.col("query_id") != F.col("doc_id"))
-    ranked = top_k(near.drop("rank"), ["query_id"], by_score(), degree)
-    return ranked.select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), F.col("score").alias("weight"))
+def similarity_graph(vectors: DataFrame, min_score: float = 0.7, degree: int = 15, block: int = BLOCK) -> DataFrame:
+    """Edges between a vector and its nearest ``degree`` others with cosine of at least ``min_score``."""
+    return all_neighbours(vectors, degree, min_score, block)
 
 
 def graph_search(hits: DataFrame, edges: DataFrame, depth: int = 1, k: int = 10) -> DataFrame:
@@ -480,25 +451,3 @@ def graph_search(hits: DataFrame, edges: DataFrame, depth: int = 1, k: int = 10)
         if hop < depth:
             reached, frontier = cut_lineage(reached), cut_lineage(frontier)
     return top_k(reached, ["query_id"], [F.desc("path_score"), F.asc("doc_id")], k)
-
-
-def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Communities by label propagation: every node takes the label with most weight around it.
-
-    Ties go to the smaller label, rounds are fixed, lineage is cut every round.
-    """
-    from mnemolake.session import cut_lineage
-
-    both = edges.select("src", "dst", "weight").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    ).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    labels = both.select(F.col("src").alias("doc_id"), F.col("src").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = (
-            both.join(labels, both["dst"] == labels["doc_id"])
-            .groupBy("src", "label")
-            .agg(F.round(F.sum("weight"), 6).alias("votes"))
-        )
-        best = votes.groupBy("src").agg(F.max(F.struct("votes", (-F.col("label")).alias("neg"))).alias("b"))
-        labels = cut_lineage(best.select(F.col("src").alias("doc_id"), (-F.col("b.neg")).alias("label")))
-    return labels
