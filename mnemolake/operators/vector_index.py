@@ -150,7 +150,7 @@ def build_vector_index(
     n = given.count()
     size = len(first["embedding"]) if first else 0
     rotation = _rotation(size, seed)
-    wanted = cells or max(1, min(MAX_CELLS, math.isqrt(n), min(n, sample_rows) // 10))
+    wanted = max(1, min(MAX_CELLS, cells or math.isqrt(n), min(n, sample_rows) // 10))
     centres = np.zeros((1, size)) if wanted == 1 else _fit_centres(given, wanted, sample_rows, seed)
     scale = LEVEL * math.sqrt(size) / 3  # three standard deviations of a rotated unit vector
 
@@ -215,7 +215,8 @@ def search_vector_index(
     wanted = candidates or 3 * k
     asked = _probed(index, queries, probes or len(index.centres))
     sizes = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    grid = sizes(index.rows.select("cell"), "across").join(sizes(asked.select("cell"), "down"), "cell")
+    # one row per cell, MAX_CELLS at most: broadcast, so that rows are dealt by block and never by cell alone
+    grid = F.broadcast(sizes(index.rows.select("cell"), "across").join(sizes(asked.select("cell"), "down"), "cell"))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(grid, "cell").select(
