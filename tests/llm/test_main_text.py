@@ -67,3 +67,65 @@ def test_unseen_class_inside_the_region_stays():
 def test_counted_class_token_is_left_out():
     page = f'<article><p>{ARTICLE}</p><div class="ad box-7">buy now</div><p>{ARTICLE}</p></article>'
     assert main_text(page, WEIGHTS) == f"{TEXT}\n{TEXT}"
+
+
+def boxed(inside: str) -> str:
+    return f"<body><nav class='top'><ul><li><a>home</a></li><li><a>about us</a></li></ul></nav><article><p>{ARTICLE}</p>{inside}<p>{ARTICLE}</p></article></body>"
+
+
+LISTS = count([boxed("")] * 20)  # lists were only counted in menus
+
+
+@pytest.mark.parametrize("weights", [Weights(), WEIGHTS, LISTS])
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ("<ul><li>first item</li><li>second item</li></ul>", ["first item", "second item"]),
+        ("<ul><li>one<ol><li>two</li></ol></li></ul>", ["one", "two"]),
+        ("<table><tr><th>name</th><td>Rhine</td></tr></table>", ["name", "Rhine"]),
+        ("<blockquote><p>as they said</p></blockquote>", ["as they said"]),
+        ("<div class='note-7'>a remark</div>", ["a remark"]),
+        ("<header><h2>Part two</h2></header>", ["Part two"]),
+    ],
+)
+def test_blocks_of_an_article_stay(weights, inside, kept):
+    assert main_text(boxed(inside), weights).split("\n") == [TEXT, *kept, TEXT]
+
+
+@pytest.mark.parametrize("weights", [WEIGHTS, LISTS])
+def test_a_list_of_links_does_not_end_the_article(weights):
+    links = "".join(f"<li><a href='/{i}'>river {i}</a></li>" for i in range(40))
+    assert main_text(boxed(f"<ul>{links}</ul>"), weights).split("\n") == [TEXT, *(f"river {i}" for i in range(40)), TEXT]
+
+
+@pytest.mark.parametrize("weights", [Weights(), WEIGHTS, LISTS])
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<section class='comments'><p>I like it</p><ul><li>me too</li></ul></section>",
+        "<div id='comments' class='x1'><ol class='comment-list'><li>I like it</li></ol></div>",
+        "<form>Subscribe now <input name=m></form>",
+        "<aside><p>More from us</p></aside>",
+        "</article><aside>More from us</aside><article>",
+        "<div class='related-posts'><a>another story</a></div>",
+        "<div role='navigation'><a>next</a></div>",
+        "<button>Share</button>",
+        "<div class='cookie-notice'>we use cookies</div>",
+    ],
+)
+def test_what_is_no_article_is_left_out_inside_it(weights, inside):
+    assert main_text(boxed(inside), weights).split("\n") == [TEXT, TEXT]
+
+
+def test_a_form_around_the_page_stays():
+    page = f"<body><form action='/'><div class='menu'>home</div><div class='story'><p>{ARTICLE}</p><p>{ARTICLE}</p></div></form></body>"
+    assert main_text(page, WEIGHTS).split("\n") == [TEXT, TEXT]
+
+
+def test_learning_takes_different_pages(spark):
+    from mnemolake.llm.html_main_text import learn
+
+    rows = [(MARKED,)] * 50 + [(boxed(""),), (None,), ("<p>unmarked</p>",)]
+    learned = learn(spark.createDataFrame(rows, "html string"), sample_pages=2)
+    assert learned == count([MARKED, boxed("")]) or learned == count([boxed(""), MARKED])
+    assert learn(spark.createDataFrame([], "html string")) == Weights()
