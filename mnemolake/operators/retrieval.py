@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemolake.functions import fixed
@@ -347,34 +348,57 @@ def glob_filenames(files: DataFrame, pattern: str, folders: tuple[str, ...] = ()
 
 
 # --- coverage search --------------------------------------------------------------------------------------
+def phrase_hits(queries: DataFrame, docs: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id) of the documents that hold the whole query text, in any case, also inside words.
+
+    The texts of at most ``block`` queries make one automaton, which every task runs over its documents in one pass;
+    more queries take further passes. No text is shuffled and no pair without a hit is written. Null and empty queries
+    and texts hit nothing; repeated rows count once.
+    """
+    asked = queries.select("query_id", F.lower("text").alias("phrase")).filter("phrase <> ''").distinct()
+    phrases = sorted(r.phrase for r in asked.select("phrase").distinct().collect())
+    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    found = [texts.select("doc_id", F.explode(_holding(phrases[at : at + block])("text")).alias("phrase")) for at in range(0, len(phrases), block)]
+    if not found:
+        return asked.select("query_id").join(texts.select("doc_id"), F.lit(False))
+    hits = reduce(DataFrame.unionByName, found)
+    return hits.join(asked, "phrase").select("query_id", "doc_id").distinct()
+
+
+def _holding(phrases: list[str]):
+    """A function of texts: which of the phrases each holds."""
+
+    @F.pandas_udf("array<string>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for phrase in phrases:
+            automaton.add_word(phrase, phrase)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({p for _, p in automaton.iter(t)}) if t else [] for t in texts], dtype=object)
+
+    return held
+
+
 def term_coverage_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """Share of query terms present in the document, plus two when the whole query text occurs in it.
 
-    Term hits come from an inverted join on terms. The phrase bonus needs no second pass over all pairs:
-    a document containing the query text contains its terms, so only joined rows are checked.
+    Term hits come from an inverted join on terms, phrases from one pass over the texts. A phrase may begin or end inside a
+    word or hold stop words only, so a document can score by the phrase alone.
     """
     stop = fixed.STOP_WORDS_COVERAGE
-    q = queries.select("query_id", "text", query_terms(F.col("text"), stop).alias("terms"))
-    n_terms = F.greatest(F.size("terms"), F.lit(1))
-    q_terms = q.select("query_id", n_terms.alias("n_terms"), F.explode("terms").alias("term"))
+    q = queries.select("query_id", query_terms(F.col("text"), stop).alias("terms"))
+    q_terms = q.select("query_id", F.explode("terms").alias("term"))
     doc_terms = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = (
-        doc_terms.join(q_terms, "term")
-        .groupBy("query_id", "doc_id", "n_terms")
-        .agg(F.count("*").alias("hits"))
-    )
-    full = hits.filter(F.col("hits") == F.col("n_terms"))  # only these can contain the whole query
-    phrase = (
-        full.join(q.select("query_id", F.lower("text").alias("q_text")), "query_id")
-        .join(docs.select("doc_id", F.lower("text").alias("d_text")), "doc_id")
-        .filter(F.contains("d_text", F.col("q_text")))
-        .select("query_id", "doc_id", F.lit(2).alias("bonus"))
-    )
-    scored = hits.join(phrase, ["query_id", "doc_id"], "left").select(
-        "query_id",
-        "doc_id",
-        F.round((F.col("hits") + F.coalesce("bonus", F.lit(0))) / F.col("n_terms"), 4).alias("score"),
+    hits = doc_terms.join(q_terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    phrase = phrase_hits(queries, docs).withColumn("bonus", F.lit(2))
+    found = hits.join(phrase, ["query_id", "doc_id"], "full_outer").join(
+        q.select("query_id", F.greatest(F.size("terms"), F.lit(1)).alias("n_terms")), "query_id"
     )
+    points = F.coalesce("hits", F.lit(0)) + F.coalesce("bonus", F.lit(0))
+    scored = found.select("query_id", "doc_id", F.round(points / F.col("n_terms"), 4).alias("score"))
     titled = scored.join(docs.select("doc_id", "title"), "doc_id")
     return top_k(titled, ["query_id"], [F.desc("score"), F.asc("title"), F.asc("doc_id")], k)
 
