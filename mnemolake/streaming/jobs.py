@@ -16,12 +16,13 @@ from mnemolake.sources.sinks import read_store, write_documents
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A Parquet file or folder as a stream, with the schema of what is there now."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """A Parquet table as a stream, with the schema of what is there now; it may be one file or a folder of files."""
+    # as a pattern the name fits a file and a folder alike: a plain path must be a folder, a name filter sees only files
+    path = f"{folder}/{name[:-1]}[{name[-1]}]"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
