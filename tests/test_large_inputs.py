@@ -1,5 +1,12 @@
 """Inputs that only larger tables have: tables in several files, long runs of names, many rows per key."""
 
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from mnemolake.functions import fixed
+from mnemolake.functions.text import find_all, flat_loops
 from mnemolake.streaming import jobs
 
 
@@ -12,3 +19,40 @@ def test_stream_of_a_folder_and_of_a_file(spark, tmp_path):
         stream = jobs.read_table_stream(spark, f"{tmp_path}/in", name)
         jobs.stream_sync(stream, out, f"{tmp_path}/check/{name}")
         assert spark.read.parquet(out).count() == n
+
+
+LOOPS = (
+    fixed.PERSON_TITLE_PATTERN, fixed.ORGANIZATION_PATTERN, *fixed.ORGANIZATION_CONTEXT_PATTERNS, fixed.LOCATION_PATTERN,
+    fixed.CAMEL_CASE_STRICT, fixed.SNAKE_CASE_STRICT, *fixed.QUERY_ORGANIZATION_PATTERNS,
+)
+
+
+def test_flat_loops_match_the_same():
+    random.seed(7)
+    words = ["Acme", "X", "Team", "Teams", "team", "Inc.", "LLC", "City", "from", "joined", "Dr.", "Foo9", "foo_bar", "fooBar", "B", ".", "company"]
+    for _ in range(500):
+        text = "".join(random.choice(words) + random.choice([" ", "  ", "\n", " ", "", ", "]) for _ in range(random.randint(1, 25)))
+        for pattern in LOOPS:
+            for flags in (0, re.IGNORECASE):
+                # this engine has no look-behind of open length
+                flat = flat_loops(pattern).replace(r"(?=[A-Z])(?<![A-Z][A-Za-z]{0,40}\s{0,1})", "")
+                assert re.findall(flat, text, flags) == re.findall(pattern, text, flags), (pattern, text)
+
+
+def test_names_in_the_engine(spark):
+    random.seed(8)
+    words = ["Acme", "XY", "Team", "Teams", "team", "Inc.", "LLC", "Foo9", "9Foo", "aB", ".", "company"]
+    texts = ["".join(random.choice(words) + random.choice([" ", "  ", " ", "", ", "]) for _ in range(25)) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pattern in (fixed.ORGANIZATION_PATTERN, fixed.QUERY_ORGANIZATION_PATTERNS[0]):
+        found = rows.select("text", find_all(F.col("text"), pattern, 1).alias("f")).collect()
+        assert all(r["f"] == re.findall(pattern, r["text"]) for r in found)
+
+
+def test_long_runs_of_names(spark):
+    run = " ".join(["Acme"] * 20_000)
+    texts = spark.createDataFrame([(f"from {run} Team",), (f"in {run}",), ("a" + "Bc" * 20_000,)], "text string")
+    for pattern in LOOPS:
+        texts.select(F.size(find_all(F.col("text"), pattern, 0))).collect()
+    found = texts.select(find_all(F.col("text"), fixed.ORGANIZATION_CONTEXT_PATTERNS[0], 1, True).alias("f")).first()["f"]
+    assert found == [run]
