@@ -57,8 +57,9 @@ def span_finder(rules: list[tuple[str, str, float]]):
 def detect_pii(docs: DataFrame, types=None, min_score: float = 0.0, extra=()) -> DataFrame:
     """Add ``spans``. Texts without any match never leave the JVM: a native test comes first."""
     rules = patterns(types, min_score, extra)
-    # every built-in pattern needs a digit, an @ or a ://; the caller's own patterns are tested themselves
-    tests = ["[0-9@]|://"] + [f"(?:{p})" for _, p, _ in extra]
+    # every built-in pattern needs a digit, an @ or a ://, but for vehicle numbers of letters alone; the caller's own
+    # patterns are tested themselves
+    tests = ["[0-9@]|://|[A-HJ-NPR-Z]{17}"] + [f"(?:{p})" for _, p, _ in extra]
     maybe = F.rlike("text", F.lit("|".join(tests)))
     none = F.array().cast(f"array<{SPAN}>")
     find = span_finder(rules)

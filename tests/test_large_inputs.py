@@ -56,3 +56,11 @@ def test_long_runs_of_names(spark):
         texts.select(F.size(find_all(F.col("text"), pattern, 0))).collect()
     found = texts.select(find_all(F.col("text"), fixed.ORGANIZATION_CONTEXT_PATTERNS[0], 1, True).alias("f")).first()["f"]
     assert found == [run]
+
+
+def test_vehicle_numbers_of_letters_alone(spark):
+    from mnemolake.operators import pii
+
+    rows = spark.createDataFrame([(1, "SEEN ABCDEFGHJKLMNPRST HERE"), (2, "nothing here")], "doc_id long, text string")
+    found = pii.span_table(pii.detect_pii(rows)).select("doc_id", "pii_type", "value").collect()
+    assert [tuple(r) for r in found] == [(1, "VEHICLE_ID", "ABCDEFGHJKLMNPRST")]
