@@ -1,14 +1,25 @@
 """Inputs that only larger tables have: tables in several files, long runs of names, many rows per key."""
 
+import os
 import random
 import re
+import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.text import find_all, flat_loops
 from mnemolake.streaming import jobs
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+import __spark_entry__ as entry
+from check_queries import TABLES, compare, duck
+
+SF = "/root/testdata/sf0.001"
+
 
 def test_stream_of_a_folder_and_of_a_file(spark, tmp_path):
     spark.range(30).repartition(3).write.parquet(f"{tmp_path}/in/many.parquet")
@@ -64,3 +75,22 @@ def test_vehicle_numbers_of_letters_alone(spark):
     rows = spark.createDataFrame([(1, "SEEN ABCDEFGHJKLMNPRST HERE"), (2, "nothing here")], "doc_id long, text string")
     found = pii.span_table(pii.detect_pii(rows)).select("doc_id", "pii_type", "value").collect()
     assert [tuple(r) for r in found] == [(1, "VEHICLE_ID", "ABCDEFGHJKLMNPRST")]
+
+
+def test_words_with_near_copies_only(spark, tmp_path):
+    # 30 near copies of one vector and 40 others that are alike but not near: the copies only see each other
+    random.seed(9)
+    near = [[1.0, 0.001 * i, 0.0] for i in range(30)]
+    wide = [[0.0, 1.0, random.random()] for _ in range(40)]
+    rows = near + wide
+    for name in TABLES:
+        if name != "embeddings":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    table = pa.table({
+        "vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32())),
+        "label": pa.array([0] * len(rows), pa.int32()),
+    })
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    got = entry.queries()["perturb_words"](spark, str(tmp_path))
+    rows, status, detail = compare(got, duck(str(tmp_path)), entry.oracle_sql()["perturb_words"])
+    assert status == "ok" and rows < 70, detail
