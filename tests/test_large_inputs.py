@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.text import find_all, flat_loops
+from mnemolake.operators import upkeep
 from mnemolake.streaming import jobs
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
@@ -94,3 +95,29 @@ def test_words_with_near_copies_only(spark, tmp_path):
     got = entry.queries()["perturb_words"](spark, str(tmp_path))
     rows, status, detail = compare(got, duck(str(tmp_path)), entry.oracle_sql()["perturb_words"])
     assert status == "ok" and rows < 70, detail
+
+
+def test_replacements_are_counted_without_pairs(spark, monkeypatch):
+    terms = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    random.seed(3)
+    rows = [
+        (i, "", " ".join(random.sample(terms, random.randint(0, 2))) + f" only{i}", [], random.choice(["2026-05-20", "2025-01-01", None]))
+        for i in range(60)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string, topics array<string>, doc_date string")
+    docs = docs.withColumn("doc_date", F.to_date("doc_date"))
+    best = upkeep.replacement_candidates(docs, "2026-06-01").select(F.col("replaces_doc_id").alias("doc_id"))
+    want = sorted(r["doc_id"] for r in best.collect())
+    assert 0 < len(want) < sum(r[4] == "2025-01-01" for r in rows)
+    for common in (0, 1, 1000):
+        found = upkeep.replaceable_documents(docs, "2026-06-01", common=common).collect()
+        assert sorted(r["doc_id"] for r in found) == want
+    none = docs.filter("doc_date < '2026-01-01'")
+    assert upkeep.replaceable_documents(none, "2026-06-01").count() == 0
+
+    def paired(*_):
+        raise AssertionError("scores pairs of documents only to count")
+
+    monkeypatch.setattr(upkeep, "replacement_candidates", paired)
+    mentions = spark.createDataFrame([], "doc_id long, ord int, entity_type string, label string")
+    assert upkeep.snapshot_summary(docs, mentions, "2026-06-01").first()["replacement_candidate_count"] == len(want)
