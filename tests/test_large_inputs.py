@@ -121,3 +121,27 @@ def test_replacements_are_counted_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(upkeep, "replacement_candidates", paired)
     mentions = spark.createDataFrame([], "doc_id long, ord int, entity_type string, label string")
     assert upkeep.snapshot_summary(docs, mentions, "2026-06-01").first()["replacement_candidate_count"] == len(want)
+
+
+def test_replacements_meet_in_a_grid_and_no_terms_pass_the_driver(spark, monkeypatch):
+    random.seed(4)
+    terms = [f"word{i}" for i in range(30)]
+    rows = [
+        (i, "", " ".join(random.sample(terms, random.randint(0, 9))), [], random.choice(["2026-05-20", "2025-01-01", None]))
+        for i in range(60)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string, topics array<string>, doc_date string")
+    docs = docs.withColumn("doc_date", F.to_date("doc_date"))
+    words = {r[0]: set(r[2].split()) for r in rows}
+    want = set()
+    for old in (r[0] for r in rows if r[4] == "2025-01-01"):
+        shared, new = max((len(words[old] & words[r[0]]), -r[0]) for r in rows if r[4] == "2026-05-20")
+        if shared:
+            want.add((old, -new, shared))
+    collect, seen = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda df: seen.append(df.columns) or collect(df))
+    for block, limit in ((32_768, 6_000_000), (7, 6_000_000), (32_768, 20)):
+        monkeypatch.setattr(upkeep, "BLOCK_TERMS", limit)
+        found = upkeep.replacement_candidates(docs, "2026-06-01", block=block)
+        assert all("doc_id" not in columns for columns in seen)
+        assert {(r["replaces_doc_id"], r["candidate_doc_id"], r["overlap"]) for r in collect(found)} == want
