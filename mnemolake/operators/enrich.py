@@ -30,26 +30,36 @@ def stemmed_taxonomy(taxonomy: DataFrame) -> DataFrame:
     return stems.groupBy("stem").agg(F.min_by("topic", "keyword").alias("stem_topic"))
 
 
-def keyword_topics(docs: DataFrame, taxonomy: DataFrame, n: int = 3, max_chars: int | None = None) -> DataFrame:
+#: Keywords that every task may hold.
+SMALL_TAXONOMY = 100_000
+
+
+def keyword_topics(
+    docs: DataFrame, taxonomy: DataFrame, n: int = 3, max_chars: int | None = None, small: int = SMALL_TAXONOMY
+) -> DataFrame:
     """Topics by weighted keywords: exact words count their weight, stem matches 0.8.
 
-    Words of a document are counted before the taxonomy join. ``max_chars`` looks at the head of the
-    text only; by default the whole text counts.
+    A taxonomy of at most ``small`` keywords goes to the tasks, so only one row per document and topic is
+    shuffled; for a larger one the words of a document are counted first and joined. ``max_chars`` looks at
+    the head of the text only; by default the whole text counts.
     """
     text = F.col("text") if max_chars is None else F.left("text", F.lit(max_chars))
     words = F.split(F.lower(text), "[\\s,.:;!?()\\[\\]{}\"'/\\\\]+")
     rows = docs.select("doc_id", F.posexplode_outer(words).alias("pos", "word")).filter(F.length("word") >= 2)
-    counted = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    exact = counted.join(taxonomy.withColumnRenamed("keyword", "word"), "word", "left")
-    hit = exact.filter(F.col("topic").isNotNull()).select(
-        "doc_id", "topic", "n", "pos", (F.col("n") * F.col("weight")).alias("exact_score"), F.lit(0).alias("stem_n")
-    )
-    missed = exact.filter(F.col("topic").isNull()).select("doc_id", "n", "pos", stem(F.col("word")).alias("stem"))
-    stemmed = missed.join(stemmed_taxonomy(taxonomy), "stem").select(
-        "doc_id", F.col("stem_topic").alias("topic"), "n", "pos", F.lit(0.0).alias("exact_score"), F.col("n").alias("stem_n")
+    if taxonomy.limit(small + 1).count() <= small:
+        rows, sent = rows.withColumn("n", F.lit(1)), F.broadcast
+    else:
+        rows = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+        sent = lambda df: df
+    exact = rows.join(sent(taxonomy.withColumnRenamed("keyword", "word")), "word", "left")
+    missed = exact.withColumn("stem", F.when(F.col("topic").isNull(), stem(F.col("word"))))
+    found = missed.join(sent(stemmed_taxonomy(taxonomy)), "stem", "left").select(
+        "doc_id", F.coalesce("topic", "stem_topic").alias("topic"), "n", "pos",
+        F.when(F.col("topic").isNotNull(), F.col("n") * F.col("weight")).otherwise(0.0).alias("exact_score"),
+        F.when(F.col("topic").isNull(), F.col("n")).otherwise(0).alias("stem_n"),
     )
     scored = (
-        hit.unionByName(stemmed)
+        found.filter(F.col("topic").isNotNull())
         .groupBy("doc_id", "topic")
         .agg(
             F.round(F.sum("exact_score") + 0.8 * F.sum("stem_n"), 6).alias("score"),
@@ -73,9 +83,10 @@ def keyword_topics(docs: DataFrame, taxonomy: DataFrame, n: int = 3, max_chars:
         F.transform(F.slice("t", 1, n), lambda x: x["topic"]).alias("topics"),
         F.round(confidence, 6).alias("confidence"),
     )
-    tiny = F.length(strip(F.col("text"))) < 3
-    none = F.col("topics").isNull()
-    return docs.select("doc_id", "text").join(found, "doc_id", "left").select(
+    # less than three characters between white space at both ends, without a copy of the text
+    short = ~F.rlike(F.col("text"), F.lit(f"(?s)(?!{SPACE}).(.+?)(?!{SPACE})."))
+    tiny, none = F.col("tiny"), F.col("topics").isNull()
+    return docs.select("doc_id", short.alias("tiny")).join(found, "doc_id", "left").select(
         "doc_id",
         F.when(tiny | none, F.array(F.lit("general"))).otherwise(F.col("topics")).alias("topics"),
         F.when(tiny, "general").when(none, "general").otherwise(F.get("topics", F.lit(0))).alias("primary_topic"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.text import find_all, flat_loops
-from mnemolake.operators import upkeep
+from mnemolake.operators import enrich, upkeep
 from mnemolake.streaming import jobs
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
@@ -145,3 +145,23 @@ def test_replacements_meet_in_a_grid_and_no_terms_pass_the_driver(spark, monkeyp
         found = upkeep.replacement_candidates(docs, "2026-06-01", block=block)
         assert all("doc_id" not in columns for columns in seen)
         assert {(r["replaces_doc_id"], r["candidate_doc_id"], r["overlap"]) for r in collect(found)} == want
+
+
+def test_keyword_topics_shuffle_no_words(spark):
+    texts = ["alpha alphas betas, alpha", "  a\n", None, "gamma delta", "beta " * 6, "ab ", " abc "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taxonomy = spark.createDataFrame(
+        [("alpha", "t1", 2.0), ("beta", "t2", 1.0), ("abc", "t3", 3.0)], "keyword string, topic string, weight double"
+    )
+    found = enrich.keyword_topics(docs, taxonomy)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*\bword#", plan)
+    assert not re.search(r"hashpartitioning\([^)]*\btext#", plan)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert sorted(map(repr, rows.values())) == sorted(map(repr, enrich.keyword_topics(docs, taxonomy, small=0).collect()))
+    assert rows[0]["topics"] == ["t1", "t2"] and rows[4]["primary_topic"] == "t2" and rows[6]["topics"] == ["t3"]
+    methods = [rows[i]["method"] for i in range(7)]
+    assert methods == [
+        "weighted_keyword_match", "empty_text", "keyword_no_match", "keyword_no_match", "weighted_keyword_match", "empty_text",
+        "weighted_keyword_match",
+    ]
