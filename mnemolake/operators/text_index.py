@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemolake.functions.text import tokens
 from mnemolake.operators.common import top_k
-from mnemolake.session import scratch_path
+from mnemolake.session import scratch_path, stored_rows
 
 SHARD_DOCS = 8192
 SHARD_WORDS = 4_000_000
@@ -183,13 +183,6 @@ def _scorer(k: int, k1: float, b: float, mean_length: float):
     return score
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared scratch folder and read back, as several steps need it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search_index(
     index: TextIndex, queries: DataFrame, k: int = 10, min_score: float = 0.0, among: DataFrame | None = None, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
@@ -210,7 +203,7 @@ def search_index(
 
     df = read.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("n_docs"))
     idf = F.log(1 + (n - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
-    asked = _kept(terms.join(df.select("term", idf.alias("idf")), "term"), "asked")
+    asked = stored_rows(terms.join(df.select("term", idf.alias("idf")), "term"), "asked")
     top = F.col("top_count") * (k1 + 1) / (F.col("top_count") + k1 * (1 - b + b * F.col("least_length") / mean_length))
     bounds = asked.join(read.select("term", "shard", top.alias("top")), "term").groupBy("query_id", "shard").agg(
         F.sum(F.col("idf") * F.col("top")).alias("bound")
@@ -223,7 +216,7 @@ def search_index(
         bounds = bounds.join(allowed.select("shard"), "shard", "left_semi")
     else:
         shards = index.shards.withColumn("allowed", F.lit(None).cast("array<int>"))
-    bounds = _kept(bounds, "bounds")  # one row per query and shard with any of its terms
+    bounds = stored_rows(bounds, "bounds")  # one row per query and shard with any of its terms
     blocks = 1 + queries.count() // QUERY_BLOCK
     query_type, id_type = queries.schema["query_id"].dataType, index.shards.schema["ids"].dataType.elementType
     schema = f"query_id {query_type.simpleString()}, doc_id {id_type.simpleString()}, score double"
@@ -244,7 +237,7 @@ def search_index(
     first = read_shards(ranked.select("query_id", "shard", "least"))
     if totals["shards"] <= FIRST_SHARDS:
         return top_k(first.filter(F.col("score") >= min_score), ["query_id"], best, k)
-    first = _kept(first, "first-shards")
+    first = stored_rows(first, "first-shards")
     least = top_k(first, ["query_id"], best, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     open_ = bounds.join(ranked.select("query_id", "shard"), ["query_id", "shard"], "left_anti").join(least, "query_id", "left")
     open_ = open_.withColumn("least", F.coalesce("least", F.lit(0.0))).filter(F.col("bound") >= F.col("least") - SLACK)
