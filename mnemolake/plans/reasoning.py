@@ -10,6 +10,7 @@ from mnemolake.operators import reasoning as rs, retrieval as r
 from mnemolake.plans.enrichment import quoted
 from mnemolake.plans.retrieval import COVER, bm25_sql, topk
 from mnemolake.plans.views import AS_OF, Registry, sql
+from mnemolake.session import stored_rows
 
 registry = Registry()
 add = registry.add
@@ -32,23 +33,24 @@ CITE = rf"""{bm25_sql()}, cand AS (SELECT query_id, doc_id, score AS first_score
 
 
 def results(t, k: int = 24):
-    hits = r.rerank(t.queries, t.documents, r.bm25_search(t.queries, t.documents, 72), k)
-    docs = t.docs.withColumn("date", F.date_format("doc_date", "yyyy-MM-dd"))
+    # stored: the hits are read by every table of the evidence, and the texts are joined to them without a shuffle
+    hits = stored_rows(r.rerank(t.queries, t.documents, r.bm25_search(t.queries, t.documents, 72), k), "reranked")
+    rows = hits.select("query_id", "doc_id", "score").join(t.docs, "doc_id").withColumn("date", F.date_format("doc_date", "yyyy-MM-dd"))
     excerpt = clean_excerpt(F.col("text"))
-    names = F.array_distinct(F.regexp_extract_all(excerpt, F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
-    docs = docs.withColumn("excerpt", excerpt).withColumn("names", names).select(
-        "doc_id", "title", "text", "date", "source", "topics",
+    names = F.array_distinct(F.regexp_extract_all("excerpt", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
+    rows = rows.withColumn("excerpt", excerpt).withColumn("names", names).select(
+        "query_id", "score", "doc_id", "title", "text", "date", "source", "topics",
         F.filter("names", lambda n: F.length(n) % 2 == 0).alias("organizations"),
         F.filter("names", lambda n: F.length(n) % 2 == 1).alias("locations"),
         F.filter("names", lambda n: F.endswith(n, F.lit("er"))).alias("persons"),
         F.regexp_extract_all("excerpt", F.lit("[A-Z][a-z]{2,4}"), F.lit(0)).alias("entities"),
     )
-    return hits.select("query_id", "doc_id", "score").join(docs, "doc_id")
+    return stored_rows(rows, "results")
 
 
-def bundled(t):
+def bundled(t, found=None):
     # several tables are derived from the bundle: keep it once it is computed
-    return rs.bundle(t.queries, rs.citations(results(t))).persist()
+    return rs.bundle(t.queries, rs.citations(results(t) if found is None else found)).persist()
 
 
 VIEWS = "queries_v docs_v"
@@ -246,13 +248,14 @@ REPL = f"""rp AS (SELECT c.query_id, c.doc_id AS replaces_doc_id, n.doc_id AS ca
     repl AS (SELECT * FROM rp WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY query_id, replaces_doc_id ORDER BY round(score + overlap, 6) DESC, rank) = 1)"""
 
 
-def replacements(t, b):
-    return rs.citation_replacements(b, rs.citations(results(t), 24), AS_OF)
+def replacements(b, found):
+    return rs.citation_replacements(b, rs.citations(found, 24), AS_OF)
 
 
 @add("citation_replacements", sql(VIEWS, f"{CITE}, {REPL} SELECT query_id, replaces_doc_id, candidate_doc_id, title, {DATE}, score, delta AS freshness_delta_days FROM repl"))
 def _(t):
-    return replacements(t, bundled(t))
+    found = results(t)
+    return replacements(bundled(t, found), found)
 
 
 @add(
@@ -263,8 +266,9 @@ def _(t):
         SELECT query_id, source || '->' || target || ':' || type AS id, source, target, type FROM mg"""),
 )
 def _(t):
-    b = bundled(t)
-    return rs.maintenance_graph(b, rs.citation_maintenance(b, AS_OF), replacements(t, b))
+    found = results(t)
+    b = bundled(t, found)
+    return rs.maintenance_graph(b, rs.citation_maintenance(b, AS_OF), replacements(b, found))
 
 
 @add(
