@@ -376,13 +376,16 @@ def _(t):
     ),
 )
 def _(t):
+    hits = bm25_search(t.queries, t.documents)
     kept = F.filter(F.transform(sentences(F.col("text")), lambda s: strip(s)), lambda s: F.length(s) > 20)
-    sents = t.documents.select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
+    # only the documents that were hit are cut into sentences
+    found = t.documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    sents = found.select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
     n = t.embeddings.agg(F.count("*")).scalar()
     vectors = sents.withColumn("vec_id", (F.col("doc_id") * 31 + F.col("pos")) % n).join(
         t.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id"
     )
-    pairs = bm25_search(t.queries, t.documents).join(t.query_vectors.select("query_id", "embedding"), "query_id")
+    pairs = hits.join(t.query_vectors.select("query_id", "embedding"), "query_id")
     return e.passage_embedding(pairs.select("query_id", "doc_id", "embedding"), vectors)
 
 

@@ -60,3 +60,25 @@ def test_texts_are_read_once(spark):
     asked = spark.createDataFrame([(1, "w3 one")], "query_id long, text string")
     best = retrieval.multilevel_search(asked, docs, chunk_documents(docs), k=2).collect()
     assert {h.parent_id for h in best} == {3} and {h.level for h in best} == {"document", "chunk"}
+
+
+@pytest.mark.parametrize("name", ["citation_replacements", "maintenance_graph"])
+def test_evidence_searches_once(spark, monkeypatch, name):
+    from mnemolake.plans import all_queries, reasoning
+
+    calls = []
+    search = reasoning.r.bm25_search
+    monkeypatch.setattr(reasoning.r, "bm25_search", lambda *a, **kw: calls.append(1) or search(*a, **kw))
+    assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
+
+
+def test_only_hit_documents_are_cut_into_sentences(spark, monkeypatch):
+    """No more vectors are joined than the hits have sentences."""
+    from mnemolake.plans import all_queries, enrichment
+
+    given = []
+    monkeypatch.setattr(enrichment.e, "passage_embedding", lambda pairs, vectors: given.append((pairs, vectors)) or pairs)
+    all_queries()["passage_embedding"](spark, "/root/testdata/sf0.001")
+    pairs, vectors = given[0]
+    assert vectors.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").count() == 0 < vectors.count()
