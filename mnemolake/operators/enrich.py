@@ -181,10 +181,11 @@ def sentence_scores(kept: Column) -> Column:
         size = F.length(s)
         points = points + F.when((size > 50) & (size < 200), 2).when(size > 200, 1).otherwise(0)
         points = points + 2 * let(F.lower(s), lambda low: count_hits(low, fixed.CUE_WORDS))
-        capital = F.filter(F.split(s, SPACE + "+"), lambda w, k: (k > 0) & F.rlike(w, F.lit(r"^\p{Lu}")))
-        points = points + F.least(F.size(capital), F.lit(3))
-        points = points + has_match(s, fixed.CAMEL_CASE).cast("int")
-        points = points + has_match(s, r"\b[a-z]+_[a-z]+\b").cast("int")
+        # sentences are trimmed: a capital behind white space begins a word that is not the first one
+        points = points + F.least(F.regexp_count(s, F.lit(rf"(?=\p{{Lu}})(?<={SPACE})\p{{Lu}}")), F.lit(3))
+        # plain tests of what every match contains run before the patterns with word borders
+        points = points + (F.rlike(s, F.lit("[a-z][A-Z]")) & has_match(s, fixed.CAMEL_CASE)).cast("int")
+        points = points + (F.contains(s, F.lit("_")) & has_match(s, r"\b[a-z]+_[a-z]+\b")).cast("int")
         return F.struct((-points).alias("neg"), i.alias("i"), s.alias("s"))
 
     return F.transform(kept, score)
@@ -248,9 +249,10 @@ def key_sentences_chunked(docs: DataFrame, n: int = 3, size: int = 1000) -> Data
     # outer explode: the inner one adds a filter that would compute the sentences once more
     found = key_sentences(windows, n, "unit").select("unit.*", F.posexplode_outer("key_sentences").alias("r", "s"))
     found = found.filter(F.col("s").isNotNull())
-    # one row per distinct sentence of a document (any case), then the few rows of a document as one array
+    # one row per distinct sentence of a document (any case), then the few rows of a document as one array; dealt by
+    # document, both need no further exchange
     place = F.struct("w", "r", "at", "s")
-    unique = found.groupBy("doc_id", F.lower(strip(F.col("s"))).alias("low")).agg(F.min(place).alias("p"))
+    unique = found.repartition("doc_id").groupBy("doc_id", F.lower(strip(F.col("s"))).alias("low")).agg(F.min(place).alias("p"))
     rows = unique.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("c"))
     texts = F.transform("c", lambda x: x["s"])
     parts = min(n, 3)
