@@ -5,16 +5,18 @@ Everything that concerns one document alone is an expression inside its row, so
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemolake.functions import fixed
 from mnemolake.functions.text import (
-    SPACE, any_match, count_hits, find_all, has_match, let, lowered, sentences, stem, strip, tokens, two_match,
+    SPACE, Words, any_match, count_hits, find_all, has_match, let, lowered, sentences, stem, strip, two_match,
+    unicode_regex,
 )
 from mnemolake.functions.vectors import cosine
+from mnemolake.operators.common import bounded_rows
 
 STRINGS = "array<string>"
 
@@ -70,6 +72,19 @@ def keyword_topics(
     best = scored.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pos", "topic", "hits"))).alias("t")
     )  # as many entries as the taxonomy has topics
+    columns = topic_columns(n)
+    return docs.select("doc_id", short_text().alias("tiny")).join(best, "doc_id", "left").select(
+        "doc_id", *[columns[k].alias(k) for k in ("topics", "primary_topic", "confidence", "method")]
+    )
+
+
+def short_text() -> Column:
+    """Less than three characters between white space at both ends, without a copy of the text."""
+    return ~F.rlike(F.col("text"), F.lit(f"(?s)(?!{SPACE}).(.+?)(?!{SPACE})."))
+
+
+def topic_columns(n: int) -> dict[str, Column]:
+    """Topics and how sure they are, from ``t`` (neg, pos, topic, hits), the best first or null, and ``tiny``."""
     top, second = -F.get("t", F.lit(0))["neg"], -F.get("t", F.lit(1))["neg"]
     base = (
         F.when(top >= 10, 0.9).when(top >= 6, 0.8).when(top >= 3, 0.65).when(top >= 1.5, 0.5).otherwise(0.35)
@@ -78,21 +93,13 @@ def keyword_topics(
     base = base * F.when(ratio > 0.8, 0.7).when(ratio > 0.6, 0.85).otherwise(1.0)
     hits = F.get("t", F.lit(0))["hits"]
     confidence = F.least(F.lit(0.95), base + F.when(hits >= 5, 0.1).when(hits >= 3, 0.05).otherwise(0.0))
-    found = best.select(
-        "doc_id",
-        F.transform(F.slice("t", 1, n), lambda x: x["topic"]).alias("topics"),
-        F.round(confidence, 6).alias("confidence"),
-    )
-    # less than three characters between white space at both ends, without a copy of the text
-    short = ~F.rlike(F.col("text"), F.lit(f"(?s)(?!{SPACE}).(.+?)(?!{SPACE})."))
-    tiny, none = F.col("tiny"), F.col("topics").isNull()
-    return docs.select("doc_id", short.alias("tiny")).join(found, "doc_id", "left").select(
-        "doc_id",
-        F.when(tiny | none, F.array(F.lit("general"))).otherwise(F.col("topics")).alias("topics"),
-        F.when(tiny, "general").when(none, "general").otherwise(F.get("topics", F.lit(0))).alias("primary_topic"),
-        F.when(tiny, 0.0).when(none, 0.2).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(tiny, "empty_text").when(none, "keyword_no_match").otherwise("weighted_keyword_match").alias("method"),
-    )
+    tiny, none = F.col("tiny"), F.col("t").isNull()
+    return {
+        "topics": F.when(tiny | none, F.array(F.lit("general"))).otherwise(F.transform(F.slice("t", 1, n), lambda x: x["topic"])),
+        "primary_topic": F.when(tiny | none, "general").otherwise(F.get("t", F.lit(0))["topic"]),
+        "confidence": F.when(tiny, 0.0).when(none, 0.2).otherwise(F.round(confidence, 6)),
+        "method": F.when(tiny, "empty_text").when(none, "keyword_no_match").otherwise("weighted_keyword_match"),
+    }
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
@@ -263,14 +270,6 @@ def key_sentences_chunked(docs: DataFrame, n: int = 3, size: int = 1000) -> Data
     return rows.select("doc_id", F.when(F.size("c") <= n, texts).otherwise(spread).alias("key_sentences"))
 
 
-def key_passages(docs: DataFrame, n: int = 3) -> DataFrame:
-    """Short texts as they are, medium texts by sentences, long texts by windows."""
-    size = F.length("text")
-    short = docs.filter(size < 200).select("doc_id", F.array(strip(F.col("text"))).alias("key_sentences"))
-    medium = key_sentences(docs.filter((size >= 200) & (size <= 1000)), n)
-    return short.unionByName(medium).unionByName(key_sentences_chunked(docs.filter(size > 1000), n))
-
-
 # --- entities ------------------------------------------------------------------------------------------
 def key_entities(docs: DataFrame, n: int = 10) -> DataFrame:
     """Capitalized words inside sentences, identifiers and quoted terms, most frequent first (then by name)."""
@@ -293,68 +292,82 @@ def key_entities(docs: DataFrame, n: int = 10) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("len") < 20, no_strings()).otherwise(top).alias("entities"))
 
 
-def _families(text: Column, patterns, low: Column | None = None) -> Column:
-    return F.concat(*[find_all(text, p, 0, True, low) for p in patterns])
+def _families(text: Column, patterns, low: Column | None = None, seen: Words | None = None) -> Column:
+    return F.concat(*[find_all(text, p, 0, True, low, seen) for p in patterns])
 
 
-def tokens_of(name: str) -> list[str]:
-    return re.findall("[a-z0-9]+", name.lower())
+def named(text: Column, name: str, low: Column, seen: Words | None = None) -> Column:
+    """The name occurs as a word, in any case."""
+    held = F.contains(low, F.lit(name.lower())) if seen is None else seen.any([name.lower()])
+    return held & F.rlike(text, F.lit(unicode_regex(r"(?i)\b\Q" + name + r"\E\b")))
 
 
-def named(text: Column, name: str, low: Column) -> Column:
-    """The name occurs as a word, in any case."""
-    return F.contains(low, F.lit(name.lower())) & has_match(text, r"\b\Q" + name + r"\E\b", True)
+def people(seen: Words) -> dict[str, Column]:
+    """All persons and organizations, which several fields need."""
+    text, low = F.col("text"), F.col("_low")
+    common = F.array(*[F.lit(w) for w in fixed.NO_PERSON_WORDS])
+    said, by, at_sign = (find_all(text, p, 1, low=low, seen=seen) for p in fixed.PERSON_CONTEXT_PATTERNS)
+    persons = F.concat(
+        find_all(text, fixed.PERSON_TITLE_PATTERN, 1, low=low, seen=seen),
+        F.filter(
+            F.concat(said, F.when(seen.before_capital(("by", "from", "with", "to")), by).otherwise(no_strings()), at_sign),
+            lambda x: (F.length(x) > 2) & ~F.array_contains(common, x),
+        ),
+    )
+    organizations = F.concat(
+        find_all(text, fixed.ORGANIZATION_PATTERN, 1, low=low, seen=seen),
+        *[find_all(text, p, 1, True, low, seen) for p in fixed.ORGANIZATION_CONTEXT_PATTERNS],
+    )
+    return {"_persons": persons, "_organizations": organizations}
 
 
-def structured_fields(text: Column, low: Column, n: int = 10) -> dict[str, Column]:
+def structured_fields(seen: Words, n: int = 10) -> dict[str, Column]:
     """Columns of the structured metadata: first seen first, each at most ``n`` values.
 
-    ``low`` is the lowercased text as a column (see ``lowered``).
+    For rows with ``text``, ``_low`` (see ``lowered``), the words of ``seen`` and the columns of ``people``.
     """
+    text, low = F.col("text"), F.col("_low")
     first = lambda values: F.slice(F.array_distinct(values), 1, n)
     every = F.flatten(
         F.array(*[
-            F.when(named(text, name, low), F.array(F.lit(name))).otherwise(no_strings())
+            F.when(named(text, name, low, seen), F.array(F.lit(name))).otherwise(no_strings())
             for name in fixed.TECHNOLOGY_NAMES
         ])
     )
-    # most texts hold none of the names' first words: one look at the word set spares them all tests
-    heads = sorted({tokens_of(name)[0] for name in fixed.TECHNOLOGY_NAMES})
-    some = F.arrays_overlap(tokens(low), F.array(*[F.lit(h) for h in heads]))
-    technologies = F.when(some, every).otherwise(no_strings())
+    # most texts hold none of the names
+    technologies = F.when(seen.any([name.lower() for name in fixed.TECHNOLOGY_NAMES]), every).otherwise(no_strings())
+    # what every match contains is looked for before the patterns with word borders
     identifiers = F.filter(
-        F.concat(find_all(text, fixed.CAMEL_CASE_STRICT), find_all(text, fixed.SNAKE_CASE_STRICT)), lambda x: F.length(x) > 3
-    )
-    common = F.array(*[F.lit(w) for w in fixed.NO_PERSON_WORDS])
-    persons = F.concat(
-        find_all(text, fixed.PERSON_TITLE_PATTERN, 1, low=low),
-        F.filter(
-            F.concat(*[find_all(text, p, 1, low=low) for p in fixed.PERSON_CONTEXT_PATTERNS]),
-            lambda x: (F.length(x) > 2) & ~F.array_contains(common, x),
+        F.concat(
+            F.when(~F.rlike(text, F.lit("[a-z][A-Z][a-z]")), no_strings()).otherwise(find_all(text, fixed.CAMEL_CASE_STRICT)),
+            find_all(text, fixed.SNAKE_CASE_STRICT, seen=seen),
         ),
+        lambda x: F.length(x) > 3,
     )
-    organizations = F.concat(
-        find_all(text, fixed.ORGANIZATION_PATTERN, 1, low=low),
-        *[find_all(text, p, 1, True, low) for p in fixed.ORGANIZATION_CONTEXT_PATTERNS],
+    near = seen.before_capital(("in", "at", "from", "to", "near", "around"))
+    places = F.filter(
+        F.when(near, find_all(text, fixed.LOCATION_PATTERN, 1, low=low, seen=seen)).otherwise(no_strings()), lambda x: F.length(x) > 2
     )
-    places = F.filter(find_all(text, fixed.LOCATION_PATTERN, 1, low=low), lambda x: F.length(x) > 2)
+    families = lambda patterns: _families(text, patterns, low, seen)
     return {
-        "persons": first(persons),
-        "organizations": first(organizations),
-        "locations": first(F.array_except(F.array_except(places, persons), organizations)),
-        "dates": first(_families(text, fixed.DATE_PATTERNS, low)),
-        "times": first(_families(text, fixed.TIME_PATTERNS, low)),
-        "temporal_refs": first(_families(text, fixed.TEMPORAL_PATTERNS, low)),
-        "quantities": first(_families(text, fixed.QUANTITY_PATTERNS, low)),
-        "activities": first(F.transform(_families(text, fixed.ACTIVITY_PATTERNS, low), lambda x: F.lower(x))),
+        "persons": first(F.col("_persons")),
+        "organizations": first(F.col("_organizations")),
+        "locations": first(F.array_except(F.array_except(places, "_persons"), "_organizations")),
+        "dates": first(families(fixed.DATE_PATTERNS)),
+        "times": first(families(fixed.TIME_PATTERNS)),
+        "temporal_refs": first(families(fixed.TEMPORAL_PATTERNS)),
+        "quantities": first(families(fixed.QUANTITY_PATTERNS)),
+        "activities": first(F.transform(families(fixed.ACTIVITY_PATTERNS), lambda x: F.lower(x))),
         "technologies": first(F.concat(technologies, identifiers)),
     }
 
 
 def structured_metadata(docs: DataFrame, n: int = 10) -> DataFrame:
-    fields = structured_fields(F.col("text"), F.col("_low"), n)
-    kind = document_type(F.col("text"), F.col("_low")).alias("document_type")
-    return lowered(docs).select("doc_id", *[c.alias(name) for name, c in fields.items()], kind)
+    seen = Words()
+    fields = structured_fields(seen, n) | {"document_type": document_type(F.col("text"), F.col("_low"), seen)}
+    named_people = people(seen)
+    rows = seen.add(lowered(docs)).withColumns(named_people)
+    return rows.select("doc_id", *[c.alias(name) for name, c in fields.items()])
 
 
 def merge_ner(structured: DataFrame, ner: DataFrame, n: int = 10) -> DataFrame:
@@ -370,22 +383,22 @@ def merge_ner(structured: DataFrame, ner: DataFrame, n: int = 10) -> DataFrame:
 
 
 # --- type and filters --------------------------------------------------------------------------------------
-def document_type(text: Column, low: Column) -> Column:
+def document_type(text: Column, low: Column, seen: Words | None = None) -> Column:
     """First family with two pattern hits."""
     expr = None
     for family, on_lower, patterns in fixed.DOCUMENT_TYPES:
-        enough = two_match(low if on_lower else text, patterns, low)
+        enough = two_match(low if on_lower else text, patterns, low, seen)
         expr = F.when(enough, family) if expr is None else expr.when(enough, family)
     return expr.otherwise("general")
 
 
-def content_type(text: Column, low: Column, source: Column, filename: Column) -> Column:
+def content_type(text: Column, low: Column, source: Column, filename: Column, seen: Words | None = None) -> Column:
     """Default by source; every later family with a hit overrides."""
     name = F.lower(F.coalesce(filename, F.lit("")))
     doc_like = F.contains(name, F.lit("readme")) | F.contains(name, F.lit("doc"))
     chain = None
     for kind, on_lower, needs_name, patterns in reversed(fixed.CONTENT_TYPE_PATTERNS):
-        hit = any_match(low if on_lower else text, patterns, low)
+        hit = any_match(low if on_lower else text, patterns, low, seen)
         if needs_name:
             hit = hit & doc_like
         chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
@@ -394,22 +407,27 @@ def content_type(text: Column, low: Column, source: Column, filename: Column) ->
     return chain.otherwise("note")
 
 
-def domain(low: Column) -> Column:
+def domain(low: Column, seen: Words | None = None) -> Column:
     """Family with most keyword hits, at least two; the first family wins ties."""
     scores = F.array(*[
-        F.struct(count_hits(low, words).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name"))
+        F.struct(count_hits(low, words, seen).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name"))
         for i, (name, words) in enumerate(fixed.DOMAIN_WORDS)
     ])
     best = F.array_max(scores)
     return F.when(best["n"] >= 2, best["name"]).otherwise("personal")
 
 
+def filter_columns(seen: Words) -> dict[str, Column]:
+    return {
+        "content_type": content_type(F.col("text"), F.col("_low"), F.col("source"), F.col("filename"), seen),
+        "domain": domain(F.col("_low"), seen),
+    }
+
+
 def document_filters(docs: DataFrame) -> DataFrame:
-    return lowered(docs).select(
-        "doc_id",
-        content_type(F.col("text"), F.col("_low"), F.col("source"), F.col("filename")).alias("content_type"),
-        domain(F.col("_low")).alias("domain"),
-    )
+    seen = Words()
+    columns = filter_columns(seen)
+    return seen.add(lowered(docs)).select("doc_id", *[c.alias(name) for name, c in columns.items()])
 
 
 # --- queries -------------------------------------------------------------------------------------------------
@@ -510,31 +528,58 @@ def passage_embedding(pairs: DataFrame, sentence_vectors: DataFrame, limit: int
 
 
 # --- all together -----------------------------------------------------------------------------------------------
+_FOUND = "_seen array<string>, passages array<string>, entities array<string>, " \
+    "topics array<struct<topic:string,exact:double,stemmed:long,hits:long,pos:int>>"
+
+
+def _found_in_texts(finder, taxonomy: list[tuple], n: int):
+    """What Python finds in a text: the words that patterns need, passages, entities and hits of the taxonomy."""
+    @F.pandas_udf(_FOUND)
+    def found(texts: pd.Series, lows: pd.Series) -> pd.DataFrame:
+        from mnemolake.operators import passages
+
+        topics = passages.shared_topics(taxonomy)
+        return pd.DataFrame({
+            "_seen": [finder(t, low) for t, low in zip(texts, lows)],
+            "passages": [passages.key_passages(t, n) for t in texts],
+            "entities": [passages.key_entities(t, low) for t, low in zip(texts, lows)],
+            "topics": [topics(low) for low in lows],
+        })
+
+    return found
+
+
 def enrich_documents(docs: DataFrame, taxonomy: DataFrame, passages: int = 5) -> DataFrame:
     """Passages, entities, structured metadata, filters and topics of every document.
 
-    A document without usable text keeps its row and names the failed stage in ``errors``.
+    A document without usable text keeps its row and names the failed stage in ``errors``. Everything is found in one
+    pass within the rows, nothing is shuffled; only a taxonomy of more than ``SMALL_TAXONOMY`` keywords is joined.
     """
-    usable = docs.filter(F.length(strip(F.col("text"))) > 0)
-    fields = structured_fields(F.col("text"), F.col("_low"))
-    own = lowered(usable).select(
+    has_text = F.coalesce(F.rlike(F.col("text"), F.lit(f"(?s)(?!{SPACE}).")), F.lit(False))
+    usable, known = docs.filter(has_text), bounded_rows(taxonomy.select("keyword", "topic", "weight"), SMALL_TAXONOMY)
+    seen = Words()
+    fields = structured_fields(seen) | {"document_type": document_type(F.col("text"), F.col("_low"), seen)}
+    filters, named_people = filter_columns(seen), people(seen)
+    found = _found_in_texts(seen.finder(), [tuple(r) for r in known or ()], passages)
+    rows = lowered(usable).withColumn("_found", found("text", "_low")).withColumn("_seen", F.col("_found._seen")).withColumns(named_people)
+    hit = lambda h: F.struct((-F.round(h["exact"] + 0.8 * h["stemmed"], 6)).alias("neg"), h["pos"].alias("pos"), h["topic"].alias("topic"), h["hits"].alias("hits"))
+    struct = lambda columns: F.struct(*[c.alias(name) for name, c in columns.items()])
+    out = rows.select(
         "doc_id",
-        F.struct(*[c.alias(k) for k, c in fields.items()], document_type(F.col("text"), F.col("_low")).alias("document_type")).alias(
-            "structured"
-        ),
-        F.struct(
-            content_type(F.col("text"), F.col("_low"), F.col("source"), F.col("filename")).alias("content_type"),
-            domain(F.col("_low")).alias("domain"),
-        ).alias("filters"),
-    )
-    topics = keyword_topics(usable, taxonomy).select("doc_id", "topics", "primary_topic", "confidence")
-    out = (
-        docs.select("doc_id")
-        .join(own, "doc_id", "left")
-        .join(key_passages(usable, passages).withColumnRenamed("key_sentences", "key_passages"), "doc_id", "left")
-        .join(key_entities(usable), "doc_id", "left")
-        .join(topics, "doc_id", "left")
-    )
-    return out.withColumn(
-        "errors", F.when(F.col("structured").isNull(), F.array(F.lit("empty_text"))).otherwise(no_strings())
-    )
+        struct(fields).alias("structured"),
+        struct(filters).alias("filters"),
+        F.col("_found.passages").alias("key_passages"),
+        F.col("_found.entities").alias("entities"),
+        F.array_sort(F.transform("_found.topics", hit)).alias("t"),
+        short_text().alias("tiny"),
+    )
+    given = "doc_id", "structured", "filters", "key_passages", "entities"
+    named_topics = "topics", "primary_topic", "confidence"
+    if known is None:
+        out = out.select(*given).join(keyword_topics(usable, taxonomy).select("doc_id", *named_topics), "doc_id", "left")
+    else:
+        columns = topic_columns(3)
+        out = out.select(*given, *[columns[k].alias(k) for k in named_topics])
+    out = out.withColumn("errors", no_strings())
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields[1:-1]]
+    return out.unionByName(docs.filter(~has_text).select("doc_id", *empty, F.array(F.lit("empty_text")).alias("errors")))
