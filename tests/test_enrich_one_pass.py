@@ -108,3 +108,30 @@ def test_words_are_found_as_substrings():
         got = finder(text, text.lower())
         assert set(got) - {"in A", "b A"} == want and len(got) == len(set(got))
         assert ("in A" in got) == text.endswith(" in  Ab")
+
+
+def test_stream_enriches_every_batch_in_one_pass(spark, tmp_path):
+    from mnemolake.streaming import jobs
+
+    rows = [(i, t) for i, t in enumerate([*odd_texts(30), None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stream = jobs.read_table_stream(spark, str(tmp_path), "documents.parquet", 1)
+    plans = []
+
+    def step(df):
+        out = enrich.enrich_documents(df.withColumns({"source": F.lit("notes"), "filename": F.lit("a.txt")}), taxonomy_of(spark))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    jobs.stream_enrich(stream, step, f"{tmp_path}/out", f"{tmp_path}/ck")
+    assert len(plans) == 3
+    # once for the documents with text and once, without any work on them, for those without
+    assert all(plan.count("FileScan") <= 2 and "Exchange" not in plan for plan in plans)
+    enriched, failed = spark.read.parquet(f"{tmp_path}/out/enriched"), spark.read.parquet(f"{tmp_path}/out/failed")
+    empty = {i for i, t in rows if t is None or not t.strip(SPACES)}
+    assert {r["doc_id"] for r in failed.collect()} == empty
+    got = {r["doc_id"]: (r["structured"], r["entities"], r["key_passages"], r["topics"]) for r in enriched.collect()}
+    whole = enrich.enrich_documents(docs.withColumns({"source": F.lit("notes"), "filename": F.lit("a.txt")}), taxonomy_of(spark)).filter("structured is not null")
+    assert got == {r["doc_id"]: (r["structured"], r["entities"], r["key_passages"], r["topics"]) for r in whole.collect()}
+    assert len(got) == len(rows) - len(empty)
