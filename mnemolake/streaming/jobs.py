@@ -105,13 +105,16 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 def stream_enrich(
     stream: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Enrich every batch; rows with errors go to the dead-letter table. Failed tasks are retried by Spark."""
+    """Enrich every batch; rows with errors go to the dead-letter table. Failed tasks are retried by Spark.
+
+    Each table is computed on its own: ``enrich`` tells the rows with errors before its work, so theirs costs one scan and
+    no results have to be kept for a second look.
+    """
 
     def each(df: DataFrame, n: int) -> None:
-        out = enrich(df).persist()
+        out = enrich(df)
         out.filter(F.size("errors") == 0).write.mode("overwrite").parquet(f"{path}/enriched/batch={n}")
         out.filter(F.size("errors") > 0).select("doc_id", "errors").write.mode("overwrite").parquet(f"{path}/failed/batch={n}")
-        out.unpersist()
 
     return run_available(stream, each, checkpoint)
 

@@ -110,7 +110,7 @@ def test_words_are_found_as_substrings():
         assert ("in A" in got) == text.endswith(" in  Ab")
 
 
-def test_stream_enriches_every_batch_in_one_pass(spark, tmp_path):
+def test_stream_enriches_every_batch_in_one_pass(spark, tmp_path, monkeypatch):
     from mnemolake.streaming import jobs
 
     rows = [(i, t) for i, t in enumerate([*odd_texts(30), None])]
@@ -122,8 +122,14 @@ def test_stream_enriches_every_batch_in_one_pass(spark, tmp_path):
     def step(df):
         out = enrich.enrich_documents(df.withColumns({"source": F.lit("notes"), "filename": F.lit("a.txt")}), taxonomy_of(spark))
         plans.append(out._jdf.queryExecution().executedPlan().toString())
+        failed = out.filter(F.size("errors") > 0).select("doc_id", "errors")
+        assert "ArrowEvalPython" not in failed._jdf.queryExecution().executedPlan().toString()
         return out
 
+    def kept(*_):
+        raise AssertionError("keeps the results of a batch")
+
+    monkeypatch.setattr(type(docs), "persist", kept)
     jobs.stream_enrich(stream, step, f"{tmp_path}/out", f"{tmp_path}/ck")
     assert len(plans) == 3
     # once for the documents with text and once, without any work on them, for those without
